@@ -44,7 +44,9 @@ def _count(chars: str) -> str:
 
 
 def _over(builder, **columns):
-    return lambda spark, sf: builder(spark, sf).select("request_id", *[c.alias(n) for n, c in columns.items()])
+    """Column expressions are made when the query is built: they need a session."""
+    return lambda spark, sf: builder(spark, sf).select(
+        "request_id", *[make().alias(n) for n, make in columns.items()])
 
 
 def _sql(select: str, source: str = "prompts", cte: str = PROMPTS) -> str:
@@ -86,32 +88,33 @@ def _secret(spark, sf):
 
 ENTRIES = {
     "txt_base64_count": (
-        _over(prompts, n=T.count_base64("text").cast("bigint")), _sql(f"{B64_COUNT} AS n")),
+        _over(prompts, n=lambda: T.count_base64("text").cast("bigint")), _sql(f"{B64_COUNT} AS n")),
     "txt_decoded_fragments": (
         lambda spark, sf: T.explode_decoded(prompts(spark, sf).drop("client_id", "label")).select(
             "request_id", "encoding", "confidence", _md5(F.col("decoded")).alias("decoded")), None),
     "txt_has_url_encoding": (
-        _over(prompts, flag=T.has_url_encoding("text")), _sql(f"regexp_matches(text, '{K.URL_ESCAPE}') AS flag")),
+        _over(prompts, flag=lambda: T.has_url_encoding("text")), _sql(f"regexp_matches(text, '{K.URL_ESCAPE}') AS flag")),
     "txt_url_decode": (
-        _over(prompts, decoded=_md5(T.url_decode_lenient("text"))), None),
+        _over(prompts, decoded=lambda: _md5(T.url_decode_lenient("text"))), None),
     "txt_zero_width_count": (
-        _over(prompts, n=T.zero_width_count("text").cast("bigint")), _sql(f"{_count(K.ZERO_WIDTH)} AS n")),
+        _over(prompts, n=lambda: T.zero_width_count("text").cast("bigint")), _sql(f"{_count(K.ZERO_WIDTH)} AS n")),
     "txt_strip_zero_width": (
-        _over(prompts, stripped=_md5(T.strip_zero_width("text"))), _sql(f"md5(translate(text, {ZW}, '')) AS stripped")),
+        _over(prompts, stripped=lambda: _md5(T.strip_zero_width("text"))), _sql(f"md5(translate(text, {ZW}, '')) AS stripped")),
     "txt_has_hex_escapes": (
-        _over(prompts, flag=T.has_hex_escapes("text")), _sql(f"regexp_matches(text, '{K.HEX_ESCAPE}') AS flag")),
+        _over(prompts, flag=lambda: T.has_hex_escapes("text")), _sql(f"regexp_matches(text, '{K.HEX_ESCAPE}') AS flag")),
     "txt_decode_hex_escapes": (
-        _over(prompts, decoded=_md5(T.decode_hex_escapes("text"))), _sql(f"md5({UNHEX}) AS decoded")),
+        _over(prompts, decoded=lambda: _md5(T.decode_hex_escapes("text"))), _sql(f"md5({UNHEX}) AS decoded")),
     "txt_rot13": (
-        _over(prompts, rotated=_md5(T.rot13("text"))), _sql(f"md5({ROT13.format('text')}) AS rotated")),
+        _over(prompts, rotated=lambda: _md5(T.rot13("text"))), _sql(f"md5({ROT13.format('text')}) AS rotated")),
     "txt_letters_only": (
-        _over(prompts, letters=_md5(T.letters_only("text"))), _sql(f"md5({LETTERS}) AS letters")),
+        _over(prompts, letters=lambda: _md5(T.letters_only("text"))), _sql(f"md5({LETTERS}) AS letters")),
     "txt_confusable_count": (
-        _over(prompts, n=T.confusable_count("text").cast("bigint")), _sql(f"{_count(K.CONFUSABLES)} AS n")),
+        _over(prompts, n=lambda: T.confusable_count("text").cast("bigint")), _sql(f"{_count(K.CONFUSABLES)} AS n")),
     "txt_suspicious_phrase": (
-        _over(prompts, phrase=T.suspicious_phrase("text")), _sql(f"{phrase_sql('text')} AS phrase")),
+        _over(prompts, phrase=lambda: T.suspicious_phrase("text")), _sql(f"{phrase_sql('text')} AS phrase")),
     "txt_count_occurrences": (
-        _over(prompts, n=T.count_occurrences(F.lower("text"), K.SIMPLE_INDICATORS).cast("bigint")),
+        lambda spark, sf: prompts(spark, sf).withColumn("low", F.lower("text")).select(
+            "request_id", T.count_occurrences("low", K.SIMPLE_INDICATORS).cast("bigint").alias("n")),
         _sql(f"{occurrences_sql('lower(text)', K.SIMPLE_INDICATORS)} AS n")),
     "txt_redact": (
         _secret,
@@ -124,16 +127,16 @@ ENTRIES = {
         "WITH " + CHAT + " SELECT request_id, '{\"X-Client-ID\":\"' || h_client || '\",\"X-Forwarded-For\":\"' || "
         "h_forwarded || '\",\"Authorization\":\"[REDACTED]\"}' AS headers FROM chat"),
     "txt_normalize_category": (
-        _over(prompts, category=T.normalize_category(F.replace(F.col("label"), F.lit("-"), F.lit("_")))),
+        _over(prompts, category=lambda: T.normalize_category(F.replace(F.col("label"), F.lit("-"), F.lit("_")))),
         _sql("label AS category")),
     "txt_sanitize_label": (
-        _over(prompts, label=T.sanitize_label("text")),
+        _over(prompts, label=lambda: T.sanitize_label("text")),
         _sql(r"left(array_to_string(regexp_extract_all(text, '[^\p{C}\p{Z}]+|[ ]+'), ''), 200) AS label")),
     "txt_sse_data": (
         _sse,
         "SELECT conv_id * 1000 + turn AS request_id, md5(replace(text, chr(10), ' ')) AS data FROM conversations"),
     "txt_tokens_estimate": (
-        _over(prompts, n=T.tokens_estimate("text").cast("bigint")),
+        _over(prompts, n=lambda: T.tokens_estimate("text").cast("bigint")),
         _sql(f"len(regexp_extract_all(text, '{TOKENS}')) AS n")),
     "txt_prompt_text": (
         lambda spark, sf: chat(spark, sf).select(

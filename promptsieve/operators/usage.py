@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from promptsieve import constants as K
 from promptsieve.functions.text import tokens_estimate
-from promptsieve.functions.variant import child, count_at, parse_body
+from promptsieve.functions.variant import count_at, parse_body
 
 EVENT_COLUMNS = {
     "event_id": "string", "ts": "timestamp", "event_type": "string", "category": "string",
@@ -24,15 +24,25 @@ def billed_tokens(response: Column) -> Column:
 
     NULL means unknown, never zero. A bad cache-read count is 0.
     """
-    usage = child(response, "$.usage")
-    prompt, completion = count_at(usage, "$.prompt_tokens"), count_at(usage, "$.completion_tokens")
-    given, made = count_at(usage, "$.input_tokens"), count_at(usage, "$.output_tokens")
-    read = F.coalesce(count_at(usage, "$.cache_read_input_tokens"), F.lit(0).cast("bigint"))
-    shape = lambda i, o, c: F.struct(
-        i.alias("input_tokens"), o.alias("output_tokens"), c.alias("cache_read_tokens"))
-    return F.when(
-        prompt.isNotNull() & completion.isNotNull(), shape(prompt, completion, F.lit(0).cast("bigint"))
-    ).when(given.isNotNull() & made.isNotNull(), shape(given, made, read))
+    counts = F.struct(
+        count_at(response, "$.usage.prompt_tokens").alias("prompt"),
+        count_at(response, "$.usage.completion_tokens").alias("completion"),
+        count_at(response, "$.usage.input_tokens").alias("given"),
+        count_at(response, "$.usage.output_tokens").alias("made"),
+        count_at(response, "$.usage.cache_read_input_tokens").alias("read"),
+    )
+    zero = F.lit(0).cast("bigint")
+    shape = lambda i, o, r: F.struct(
+        i.alias("input_tokens"), o.alias("output_tokens"), r.alias("cache_read_tokens"))
+
+    def pick(c: Column) -> Column:
+        return F.when(
+            c.prompt.isNotNull() & c.completion.isNotNull(), shape(c.prompt, c.completion, zero)
+        ).when(
+            c.given.isNotNull() & c.made.isNotNull(), shape(c.given, c.made, F.coalesce(c.read, zero)))
+
+    # The one-element array binds the counts, so each is read once.
+    return F.transform(F.array(counts), pick)[0]
 
 
 def model_label(body: Column) -> Column:
@@ -112,25 +122,40 @@ def detection_events(scans: DataFrame, responses: DataFrame | None = None) -> Da
     return events.unionByName(as_events(leaked))
 
 
-def spend(prices: str = "p") -> Column:
-    """Billed cost of an event row; prices are per million tokens."""
+def _price(name: str) -> Column:
+    """Prices are per million tokens. Money is added up in decimals: the sum is exact and does
+    not depend on how the rows are partitioned."""
+    return F.col(name).cast("decimal(18,6)")
+
+
+def _cost(side: str, inputs: str, outputs: str) -> Column:
+    """Cost in millionths of a dollar."""
+    zero = F.lit(0).cast("bigint")
     return (
-        F.coalesce("input_tokens", F.lit(0)) * F.col(f"{prices}.input_price")
-        + F.coalesce("output_tokens", F.lit(0)) * F.col(f"{prices}.output_price")
-        + F.coalesce("cache_read_tokens", F.lit(0)) * F.col(f"{prices}.input_price") * 0.1
-    ) / 1e6
+        F.coalesce(inputs, zero) * _price(f"{side}.input_price")
+        + F.coalesce(outputs, zero) * _price(f"{side}.output_price"))
+
+
+def _share(tokens: str, side: str, share: str) -> Column:
+    zero = F.lit(0).cast("bigint")
+    return F.coalesce(tokens, zero) * _price(f"{side}.input_price") * F.lit(share).cast("decimal(2,1)")
+
+
+def _dollars(total: Column) -> Column:
+    return total.cast("double") / 1e6
 
 
 def usage_rollup(events: DataFrame, prices: DataFrame, by=("provider", "model", "instance_id")) -> DataFrame:
     """Requests, tokens and spend with subtotals (rollup); ``level`` counts the rolled-up keys."""
     joined = events.where("event_type = 'usage'").alias("e").join(
         prices.alias("p"), F.col("e.model") == F.col("p.model"), "left")
-    staged = joined.select("e.*", spend().alias("_spend"))
+    cost = _cost("p", "e.input_tokens", "e.output_tokens") + _share("e.cache_read_tokens", "p", "0.1")
+    staged = joined.select("e.*", cost.alias("_spend"))
     return staged.rollup(*by).agg(
         F.bit_count(F.grouping_id()).alias("level"),
         F.count("*").alias("requests"), F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
-        F.sum(F.coalesce("_spend", F.lit(0.0))).alias("spend_usd"),
+        F.coalesce(_dollars(F.sum("_spend")), F.lit(0.0)).alias("spend_usd"),
     )
 
 
@@ -148,25 +173,23 @@ def savings(events: DataFrame, prices: DataFrame) -> DataFrame:
         .join(p.alias("r"), F.col("e.routed_model") == F.col("r.model"), "left")
         .join(p.alias("m"), F.col("e.model") == F.col("m.model"), "left")
     )
-    cost = lambda side, i, o: (
-        F.coalesce(i, F.lit(0)) * F.col(f"{side}.input_price")
-        + F.coalesce(o, F.lit(0)) * F.col(f"{side}.output_price")) / 1e6
-    routed = cost("q", "e.input_tokens", "e.output_tokens") - cost("r", "e.input_tokens", "e.output_tokens")
+    routed = _cost("q", "e.input_tokens", "e.output_tokens") - _cost("r", "e.input_tokens", "e.output_tokens")
     is_routed = F.col("e.routing_mode").isNotNull() & ~F.coalesce(
         F.col("e.requested_model").startswith(K.ROUTER_PREFIX), F.lit(True))
     item = lambda kind, state, amount: F.struct(
-        F.lit(kind).alias("source"), state.alias("state"), amount.alias("usd"))
+        F.lit(kind).alias("source"), state.alias("state"),
+        amount.cast("decimal(38,7)").alias("millionths"))
     sources = F.array_compact(F.array(
         F.when(is_routed & routed.isNotNull(), item(
             "routing", F.when(F.col("e.routing_mode") == "applied", "realized").otherwise("projected"), routed)),
         F.when(F.col("e.cache_read_tokens") > 0, item(
             "prompt_cache", F.lit("realized"),
-            F.col("e.cache_read_tokens") * F.col("m.input_price") * 0.9 / 1e6)),
+            _share("e.cache_read_tokens", "m", "0.9"))),
         F.when(F.col("e.cache_hit"), item(
             "response_cache", F.lit("realized"),
-            cost("m", "e.cached_input_tokens", "e.cached_output_tokens"))),
+            _cost("m", "e.cached_input_tokens", "e.cached_output_tokens"))),
     ))
     return (
         priced.select(F.inline(sources)).groupBy("source", "state")
-        .agg(F.count("*").alias("requests"), F.sum("usd").alias("saved_usd"))
+        .agg(F.count("*").alias("requests"), _dollars(F.sum("millionths")).alias("saved_usd"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SECTIONS = ("text", "detection", "policy")
+SECTIONS = ("text", "detection", "policy", "cost")
 
 
 def entries() -> dict:

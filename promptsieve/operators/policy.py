@@ -16,8 +16,9 @@ from promptsieve.functions.variant import kind, text_at
 
 def effective_threshold(threshold: Column, sensitivity: Column) -> Column:
     """``1 - sensitivity`` within [0, 1] if a sensitivity is set, else the threshold, else 0."""
+    # greatest and least skip NULLs, so a missing sensitivity must not reach them.
     strict = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - sensitivity.cast("double")))
-    return F.coalesce(strict, threshold.cast("double"), F.lit(0.0))
+    return F.coalesce(F.when(sensitivity.isNotNull(), strict), threshold.cast("double"), F.lit(0.0))
 
 
 def allowlist_sets(allowlist: DataFrame) -> DataFrame:

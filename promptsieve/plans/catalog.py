@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SECTIONS = ("text", "detection", "policy", "cost", "lifecycle", "metrics")
+SECTIONS = ("text", "detection", "policy", "cost", "lifecycle", "metrics", "streaming")
 
 
 def entries() -> dict:

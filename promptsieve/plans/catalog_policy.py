@@ -13,7 +13,10 @@ from promptsieve.sources.requests import with_body
 
 _POLICY = X.values("category_policy", "category, action, threshold, sensitivity", X.CATEGORY_POLICY)
 _LISTS = X.values("lists", "client_id, categories", X.ALLOWLIST)
-_THRESHOLD = "coalesce(greatest(0.0, least(1.0, 1.0 - sensitivity::DOUBLE)), threshold::DOUBLE, 0.0)"
+_THRESHOLD = (
+    "CASE WHEN sensitivity IS NOT NULL THEN greatest(0.0, least(1.0, 1.0 - sensitivity::DOUBLE)) "
+    "WHEN threshold IS NOT NULL THEN threshold::DOUBLE ELSE 0.0 END"
+)
 
 
 def _resolved(spark, sf, default_action: str = "block"):

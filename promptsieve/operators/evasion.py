@@ -30,6 +30,13 @@ def evasion_signals(
     return append_signals(staged, text, max_length).drop("_lower")
 
 
+def explode_signals(df: DataFrame) -> DataFrame:
+    """One row per signal. An outer generator, so that Spark infers no filter on the array,
+    which would compute all signals twice."""
+    rest = [c for c in df.columns if c != "signals"]
+    return df.select(*rest, F.inline_outer("signals")).where("heuristic is not null")
+
+
 def append_signals(df: DataFrame, text: str, max_length: int = K.MAX_TEXT_LENGTH) -> DataFrame:
     """``evasion_signals`` on a frame that already holds ``_lower``, the lower-cased text.
 

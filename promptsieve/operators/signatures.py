@@ -143,7 +143,8 @@ def signature_hits(df: DataFrame, text: str, rules: RuleSet) -> DataFrame:
 
     Columns: those of ``df`` but the text, then signature_id, category, action, pattern,
     matched_text, start, end. Offsets are NULL for patterns whose matches depend on their
-    surroundings.
+    surroundings. The outer generators are on purpose: for a plain one Spark infers a filter
+    on the array below it, which would match every pattern a second time.
     """
     keep = [c for c in df.columns if c != text]
     staged = df.withColumn("_lower", F.lower(text))
@@ -156,9 +157,10 @@ def signature_hits(df: DataFrame, text: str, rules: RuleSet) -> DataFrame:
         )
     return (
         staged.select(*keep, text, F.expr(
-            f"inline(filter(array({', '.join(groups)}), g -> size(g.found) > 0))"))
+            f"inline_outer(filter(array({', '.join(groups)}), g -> size(g.found) > 0))"))
+        .where("signature_id is not null")
         .select(*keep, "signature_id", "category", "action", "pattern",
-                F.inline(_with_offsets(F.col(text), F.col("found"), F.col("fixed"))))
+                F.inline_outer(_with_offsets(F.col(text), F.col("found"), F.col("fixed"))))
     )
 
 

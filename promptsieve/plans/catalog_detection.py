@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from promptsieve import constants as K
 from promptsieve.operators import responses as R
 from promptsieve.operators.classifier import active_model, classify, classify_batch, train_classifier
-from promptsieve.operators.evasion import evasion_signals
+from promptsieve.operators.evasion import evasion_signals, explode_signals
 from promptsieve.operators.fusion import ScanConfig, fuse
 from promptsieve.operators.signatures import Rule, RuleSet, best_signature, signature_hits
 from promptsieve.plans.catalog_text import B64_COUNT, LETTERS, ROT13, UNHEX, ZW, _count, phrase_sql
@@ -140,7 +140,7 @@ def _best(spark, sf):
 
 def _signals(spark, sf):
     base = prompts(spark, sf).select("request_id", "text")
-    return evasion_signals(base).select("request_id", F.inline("signals"))
+    return explode_signals(evasion_signals(base).drop("text"))
 
 
 def _check(spark, sf):

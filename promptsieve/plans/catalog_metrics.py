@@ -14,6 +14,7 @@ from promptsieve.plans.catalog_cost import _requests, _route_ctes
 from promptsieve.plans.catalog_detection import VERDICTS, verdicts
 from promptsieve.plans.catalog_policy import RESOLVED, _resolved
 from promptsieve.sources.sinks import to_prometheus
+from promptsieve.session import local_table
 
 _LOG = (
     "event_type as upstream", "case when user_id % 2 = 0 then 'POST' else 'GET' end as method",
@@ -208,8 +209,8 @@ SELECT event_id, client, CASE WHEN i <= taken THEN 'allowed' ELSE 'limited' END
 
 
 def _lists(spark):
-    return spark.createDataFrame(
-        [("block", "10.0.1.0/24"), ("allow", "10.0.2.3"), ("allow", "10.0.0.0/30"), ("block", "10.0.3.4/31")],
+    return local_table(
+        spark, [("block", "10.0.1.0/24"), ("allow", "10.0.2.3"), ("allow", "10.0.0.0/30"), ("block", "10.0.3.4/31")],
         "list string, cidr string")
 
 

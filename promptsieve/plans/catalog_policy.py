@@ -10,6 +10,7 @@ from promptsieve.operators import policy as P
 from promptsieve.plans import traffic as X
 from promptsieve.plans.catalog_detection import VERDICTS, verdicts
 from promptsieve.sources.requests import with_body
+from promptsieve.session import local_table
 
 _POLICY = X.values("category_policy", "category, action, threshold, sensitivity", X.CATEGORY_POLICY)
 _LISTS = X.values("lists", "client_id, categories", X.ALLOWLIST)
@@ -155,8 +156,8 @@ def _by_path(spark, sf):
 
 
 def _hosts(spark):
-    return spark.createDataFrame(
-        [("alpha", "https://thther.example.org/x", "a", 10), ("beta", "http://m.ththth.example.net:8080", None, 20)],
+    return local_table(
+        spark, [("alpha", "https://thther.example.org/x", "a", 10), ("beta", "http://m.ththth.example.net:8080", None, 20)],
         "provider string, url string, auth_header string, timeout int")
 
 

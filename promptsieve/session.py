@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -21,6 +24,31 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def local_table(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """Small driver-side rows as a local relation.
+
+    Built from Arrow, so Spark knows its size and broadcasts it by that; a frame built from
+    Python objects counts as unknown and large, and would shuffle the big side of a join.
+    """
+    struct = StructType.fromDDL(schema)
+    names = struct.fieldNames()
+    table = pa.Table.from_pylist(
+        [dict(zip(names, row)) for row in rows], schema=to_arrow_schema(struct))
+    return spark.createDataFrame(table, struct)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core for a CPU-bound scan of a source table.
+
+    A small table often is a single row group and so a single task. Large tables have more
+    splits than cores and are left as they are: no shuffle is added to them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder of the session.
 

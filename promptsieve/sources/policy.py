@@ -14,6 +14,7 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 
 from promptsieve import constants as K
+from promptsieve.session import local_table
 
 _VARIABLE = re.compile(r"\$\{([^}:]+)(?::-([^}]*))?\}")
 
@@ -132,4 +133,4 @@ def read_policy(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Policy file -> category_policy, allowlist, upstreams, routing_tasks, downgrades,
     settings."""
     rows = policy_tables(Path(path).read_text(encoding="utf-8"))
-    return {name: spark.createDataFrame(rows[name], SCHEMAS[name]) for name in SCHEMAS}
+    return {name: local_table(spark, rows[name], SCHEMAS[name]) for name in SCHEMAS}

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptsieve.operators.signatures import Rule, RuleSet
+from promptsieve.session import local_table
 
 SIGNATURE = (
     "id string, name string, category string, severity string, action string, "
@@ -54,7 +55,7 @@ def rules_dataframe(spark: SparkSession, rules: RuleSet) -> DataFrame:
         (i, r.id, r.name, r.category, r.severity, r.action, r.scan_target, list(r.patterns))
         for i, r in enumerate(rules.rules)
     ]
-    return spark.createDataFrame(data, f"ordinal int, {SIGNATURE}")
+    return local_table(spark, data, f"ordinal int, {SIGNATURE}")
 
 
 def _parse_batches(keys: list[str], skip_bad: bool):
@@ -84,7 +85,7 @@ def read_signatures(spark: SparkSession, path: str) -> DataFrame:
     """
     local = path.removeprefix("file:")
     if "://" not in path and not os.path.exists(local):
-        return spark.createDataFrame([], f"ordinal int, {SIGNATURE}, version string")
+        return local_table(spark, [], f"ordinal int, {SIGNATURE}, version string")
     files = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.y*ml").text(path, wholetext=True)

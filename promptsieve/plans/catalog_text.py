@@ -30,13 +30,15 @@ UNHEX = (
     "WHEN regexp_matches(p, '^[0-9a-fA-F]{2}') THEN chr(cast('0x' || p[1:2] as integer)) || p[3:] "
     "ELSE '\\x' || p END), '')"
 )
-B64_COUNT = (
-    f"len(list_filter(list_transform(regexp_extract_all(text, '{K.BASE64_RUN}'), lambda m: "
+URL_DECODED = "url_decode(text)"
+B64_TEXTS = (
+    f"list_filter(list_transform(regexp_extract_all(text, '{K.BASE64_RUN}'), lambda m: "
     "CASE WHEN length(rtrim(m, '=')) % 4 = 0 OR (length(rtrim(m, '=')) % 4 = 2 AND m LIKE '%==') "
     "OR (length(rtrim(m, '=')) % 4 = 3 AND m LIKE '%=') THEN "
     "TRY(decode(from_base64(rpad(rtrim(m, '='), cast(ceil(length(rtrim(m, '=')) / 4.0) * 4 as integer), '=')))) END), "
-    r"lambda d: d IS NOT NULL AND regexp_full_match(d, '(?:[^\p{C}\p{Z}]|[ ])*')))"
+    r"lambda d: d IS NOT NULL AND regexp_full_match(d, '(?:[^\p{C}\p{Z}]|[ ])*'))"
 )
+B64_COUNT = f"len({B64_TEXTS})"
 
 
 def _count(chars: str) -> str:
@@ -91,11 +93,13 @@ ENTRIES = {
         _over(prompts, n=lambda: T.count_base64("text").cast("bigint")), _sql(f"{B64_COUNT} AS n")),
     "txt_decoded_fragments": (
         lambda spark, sf: T.explode_decoded(prompts(spark, sf).drop("client_id", "label")).select(
-            "request_id", "encoding", "confidence", _md5(F.col("decoded")).alias("decoded")), None),
+            "request_id", "encoding", "confidence", _md5(F.col("decoded")).alias("decoded")),
+        f"WITH {PROMPTS} SELECT request_id, 'base64' AS encoding, 0.9::DOUBLE AS confidence, md5(unnest({B64_TEXTS})) AS decoded FROM prompts "
+        f"UNION ALL SELECT request_id, 'url', 0.8::DOUBLE, md5({URL_DECODED}) FROM prompts WHERE regexp_matches(text, '{K.URL_ESCAPE}')"),
     "txt_has_url_encoding": (
         _over(prompts, flag=lambda: T.has_url_encoding("text")), _sql(f"regexp_matches(text, '{K.URL_ESCAPE}') AS flag")),
     "txt_url_decode": (
-        _over(prompts, decoded=lambda: _md5(T.url_decode_lenient("text"))), None),
+        _over(prompts, decoded=lambda: _md5(T.url_decode_lenient("text"))), _sql(f"md5({URL_DECODED}) AS decoded")),
     "txt_zero_width_count": (
         _over(prompts, n=lambda: T.zero_width_count("text").cast("bigint")), _sql(f"{_count(K.ZERO_WIDTH)} AS n")),
     "txt_strip_zero_width": (

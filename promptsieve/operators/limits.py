@@ -86,15 +86,17 @@ def rate_limit(
     else:
         listed = _listed(_listed(events, lists, "block", client), lists, "allow", client)
     timed = listed.withColumns({
-        "_client": F.col(client).cast("string"), "_at": F.unix_millis(F.col(ts).cast("timestamp"))})
+        "_client": F.coalesce(F.col(client).cast("string"), F.lit("unknown")), "_at": F.unix_millis(F.col(ts).cast("timestamp"))})
     metered = timed.where(~F.col("_block") & ~F.col("_allow"))
     slot_ms = max(1, int(-(-burst * 1000 // rate)))
     ticks = metered.groupBy(F.col("_client").alias("client"), F.col("_at").alias("at")).agg(
-        F.count("*").alias("n")).withColumn("slot", F.floor(F.col("at") / slot_ms))
+        F.count("*").alias("n")).withColumn("slot", F.floor(F.col("at") / slot_ms)).where(
+        "client is not null and slot is not null")
     order = Window.partitionBy("client").orderBy("slot")
     begins = F.coalesce(F.col("slot") - F.lag("slot").over(order) > 1, F.lit(True))
+    # Equal filters and columns on both sides of the join let it read one shuffle twice.
     runs = (
-        ticks.select("client", "slot").distinct().withColumn("begin", F.when(begins, F.col("slot")))
+        ticks.where("n > 0").select("client", "slot").distinct().withColumn("begin", F.when(begins, F.col("slot")))
         .select("client", "slot", F.last("begin", ignorenulls=True).over(order).alias("run"))
     )
     judged = (

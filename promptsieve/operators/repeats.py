@@ -107,11 +107,13 @@ def store_times(requests: DataFrame, ttl: int = K.CACHE_TTL_SECONDS) -> DataFram
     """
     ttl_ms = ttl * 1000
     times = requests.groupBy("key", "at").agg(F.min("rank").alias("rank"))
-    times = times.withColumn("slot", F.floor(F.col("at") / ttl_ms))
+    times = times.withColumn("slot", F.floor(F.col("at") / ttl_ms)).where(
+        "key is not null and slot is not null")
     order = Window.partitionBy("key").orderBy("slot")
     begins = F.coalesce(F.col("slot") - F.lag("slot").over(order) > 1, F.lit(True))
+    # Equal filters and columns on both sides of the join let it read one shuffle twice.
     runs = (
-        times.select("key", "slot").distinct()
+        times.where("rank is not null").select("key", "slot").distinct()
         .withColumn("begin", F.when(begins, F.col("slot")))
         .select("key", "slot", F.last("begin", ignorenulls=True).over(order).alias("run"))
     )

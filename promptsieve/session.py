@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,15 +50,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder of the session.
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder that all executors see, below the cluster's ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a folder is made.
+    Only where that is unset (tests on one machine) it is a temporary folder.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="promptsieve-checkpoint-"))
-    return df.checkpoint()
+    key = "spark.checkpoint.dir"
+    base = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
+    base = base or tempfile.mkdtemp(prefix="promptsieve-")
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -73,23 +73,34 @@ _RUNS = "key string, run bigint, at bigint, rank string"
 def _stores_of_runs(batches: Iterator[pd.DataFrame], ttl_ms: int) -> Iterator[pd.DataFrame]:
     """Store rows of sorted (key, run, at, rank) rows.
 
-    Holds one store, whatever the number of rows, and steps from store to store by binary
-    search instead of visiting each row.
+    Holds one store, whatever the number of rows. A run shorter than ``ttl_ms`` stores once,
+    at its first row, which is found for all runs of a batch together; in a longer one the
+    next store is found by binary search instead of a visit to each row.
     """
     current, stored = None, 0
     for batch in batches:
-        keep: list[int] = []
-        runs = batch.groupby(["key", "run"], sort=False)["at"]
-        for name, rows in runs.indices.items():
-            times = batch["at"].to_numpy()[rows]
-            if name != current:
-                current, stored = name, times[0] - ttl_ms
-            at = np.searchsorted(times, stored + ttl_ms)
-            while at < len(times):
-                keep.append(rows[at])
-                stored = times[at]
-                at = np.searchsorted(times, stored + ttl_ms)
-        yield batch.iloc[keep]
+        if batch.empty:
+            continue
+        key, run, at = (batch[c].to_numpy() for c in ("key", "run", "at"))
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (run[1:] != run[:-1])) + 1
+        starts, ends = np.append(0, cuts), np.append(cuts, len(batch))
+        begins_anew = np.ones(len(starts), dtype=bool)
+        begins_anew[0] = (key[0], run[0]) != current
+        short = begins_anew & (at[ends - 1] - at[starts] < ttl_ms)
+        keep = list(starts[short])
+        for i in np.flatnonzero(~short):
+            times = at[starts[i]:ends[i]]
+            if begins_anew[i]:
+                stored = times[0] - ttl_ms
+            step = np.searchsorted(times, stored + ttl_ms)
+            while step < len(times):
+                keep.append(starts[i] + step)
+                stored = times[step]
+                step = np.searchsorted(times, stored + ttl_ms)
+        current = (key[-1], run[-1])
+        if short[-1]:
+            stored = at[starts[-1]]
+        yield batch.iloc[np.sort(keep)] if keep else batch.iloc[:0]
 
 
 def store_times(requests: DataFrame, ttl: int = K.CACHE_TTL_SECONDS) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +22,30 @@ SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
+    """Set the session up: settings, and the package on the Python workers of all executors."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    _ship_package(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def _ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="promptsieve-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for module in sorted(package.rglob("*.py")):
+            out.write(module, module.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def local_table(spark: SparkSession, rows, schema: str) -> DataFrame:
     """Small driver-side rows as a local relation.
 

@@ -4,6 +4,7 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,22 @@ def test_repeat_hits_against_sequential(spark):
     assert not wrong, wrong[:5]
 
 
+def test_stores_do_not_depend_on_batches():
+    rng = random.Random(9)
+    rows = sorted({(f"k{rng.randint(0, 5)}", rng.randint(0, 2), rng.randint(0, 400)) for _ in range(900)})
+    want, last = [], {}
+    for key, run, at in rows:
+        if (key, run) not in last or at - last[key, run] >= 30:
+            last[key, run] = at
+            want.append((key, run, at))
+    frame = pd.DataFrame([(*r, "x") for r in rows], columns=["key", "run", "at", "rank"])
+    for _ in range(20):
+        cuts = sorted(rng.sample(range(1, len(rows)), 25))
+        parts = [frame.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        got = pd.concat(R._stores_of_runs(iter(parts), 30))
+        assert list(got[["key", "run", "at"]].itertuples(index=False, name=None)) == want
+
+
 def test_prompt_cache_rewrite(spark):
     rows = [("anthropic", "https://h/v1/messages/", {"system": "S\n", "a": 1}), ("anthropic", "https://h/v1/complete", {"system": "S"}),
             ("openai", "https://h/v1/messages", {"system": "S"}), ("anthropic", "https://h/v1/messages", {"system": "  "}),

@@ -49,6 +49,8 @@ DOT = r"\s*[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*|\s+dot\s+|\s+DOT\s+"
 ADDRESS = re.compile(
     rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:{DOT}|\.)[A-Za-z0-9_%+-]+)*(?:{AT}|@)[A-Za-z0-9-]+(?:(?:{DOT}|\.)[A-Za-z0-9-]+)+")
 HINT = re.compile(r"(?i)[\[({<]\s*(?:at|dot|punkt|point|punto)\s*[\])}>]|\sdot\s")
+#: Last labels that make an address of bare words (fixed values); with brackets any will do.
+LAST = frozenset("com org net edu gov info io co uk us eu de at ch fr es it nl be pl pt se dk fi ie in jp cn br mx ca au".split())
 PART = re.compile(rf"(?P<at>{AT})|(?P<dot>{DOT})", re.IGNORECASE)
 
 
@@ -140,7 +142,7 @@ def spelled_digits(r: Rewritten) -> Rewritten:
         after = k + 1 < len(words) and re.fullmatch(r"[\s,.-]{1,3}", r.text[m.end(): words[k + 1].start()])
         if before or after:
             if before and edits and edits[-1][1] == words[k - 1].end():
-                edits.append((words[k - 1].end(), m.start(), " "))
+                edits.append((words[k - 1].end(), m.start(), "" if edits[-1][2] == "+" else " "))
             edits.append((m.start(), m.end(), NUMBER[m[0].lower()]))
     return r.replaced(edits) if edits else r
 
@@ -151,6 +153,8 @@ def addresses(r: Rewritten) -> Rewritten:
         return r
     edits = []
     for m in ADDRESS.finditer(r.text):
+        if not re.search(r"[\[({<@]", m[0]) and re.split(r"[^A-Za-z0-9-]", m[0])[-1].lower() not in LAST:
+            continue
         edits += [(m.start() + p.start(), m.start() + p.end(), "@" if p["at"] else ".") for p in PART.finditer(m[0])]
     return r.replaced(edits) if edits else r
 

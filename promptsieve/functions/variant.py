@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def parse_body(body: Column) -> Column:
     """JSON object as VARIANT; NULL for anything else, so such bodies pass unparsed."""
     parsed = F.try_parse_json(body)
-    return F.when(F.ltrim(body).startswith("{"), parsed)
+    return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
 
 
 def child(v: Column, path: str) -> Column:

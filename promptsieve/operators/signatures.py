@@ -11,15 +11,15 @@ import re
 import warnings
 from dataclasses import dataclass, replace
 from functools import cached_property
-from re import _parser as sre
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptsieve import constants as K
 from promptsieve.functions.gates import gate_sql, quote, required_words
 
-MAX_PATTERNS = 20_000
 CANDIDATE = (
     "array<struct<action:string,category:string,signature_id:string,detail:string,"
     "confidence:double>>"
@@ -37,6 +37,26 @@ class Rule:
     scan_target: str = "request"
 
 
+def java_pattern(pattern: str) -> str:
+    """Python's named groups, their references and the end of text, as Java spells them."""
+    pattern = re.sub(r"(?<!\\)((?:\\\\)*)\(\?P<(\w+)>", r"\1(?<\2>", pattern)
+    pattern = re.sub(r"(?<!\\)((?:\\\\)*)\(\?P=(\w+)\)", r"\1\\k<\2>", pattern)
+    return re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", pattern)
+
+
+def pattern_fault(pattern: str) -> str | None:
+    """Why the JVM cannot compile a pattern, None if it can; without a session Python judges."""
+    context = SparkContext._active_spark_context
+    try:
+        if context is None:
+            re.compile(pattern)
+        else:
+            context._jvm.java.util.regex.Pattern.compile("(?i)(?d)" + pattern)
+    except (re.error, IllegalArgumentException) as bad:
+        return str(bad).splitlines()[0]
+    return None
+
+
 @dataclass(frozen=True)
 class RuleSet:
     """Rules in order; the order decides ties."""
@@ -45,10 +65,8 @@ class RuleSet:
 
     @classmethod
     def from_dataframe(cls, df: DataFrame) -> RuleSet:
-        """Collect a signature table. Tables beyond any sane rule set are refused, not cut."""
-        rows = df.orderBy("ordinal").limit(MAX_PATTERNS + 1).collect()
-        if sum(len(r.patterns or ()) for r in rows) > MAX_PATTERNS or len(rows) > MAX_PATTERNS:
-            raise ValueError(f"more than {MAX_PATTERNS} patterns cannot be compiled into columns")
+        """Collect a signature table: configuration, of whatever length."""
+        rows = df.orderBy("ordinal").collect()
         return cls(tuple(
             Rule(r.id, r.name, r.category, r.severity, r.action, tuple(r.patterns or ()),
                  r.scan_target)
@@ -65,16 +83,17 @@ class RuleSet:
 
     @cached_property
     def patterns(self) -> list[tuple[str, Rule]]:
-        """Flat (pattern, rule) list; a pattern that does not compile is skipped."""
+        """Flat (pattern, rule) list in the dialect of the engine that runs it; a pattern that
+        it cannot compile is skipped."""
         usable = []
         for rule in self.rules:
             for pattern in rule.patterns:
-                try:
-                    re.compile(pattern)
-                except re.error as bad:
+                java = java_pattern(pattern)
+                bad = pattern_fault(java)
+                if bad:
                     warnings.warn(f"rule {rule.id}: pattern skipped, {bad}", stacklevel=2)
                 else:
-                    usable.append((pattern, rule))
+                    usable.append((java, rule))
         return usable
 
     def match_texts(self, text: str, lowered: str) -> list[str]:
@@ -116,34 +135,27 @@ def action_rank(action: Column) -> Column:
     return rank
 
 
-def _depends_on_context(pattern: str) -> bool:
-    """True for anchors, word bounds and lookaround: their offsets cannot be refound."""
-    return any(word in str(sre.parse(pattern)) for word in ("AT ", "AT_", "ASSERT", "GROUPREF"))
-
-
-def _with_offsets(text: Column, found: Column, fixed: Column) -> Column:
-    """Attach code-point start and end: each match is the next occurrence of its text after
-    the end of the match before. NULL unless ``fixed``."""
+def _with_offsets(found: Column, gaps: Column) -> Column:
+    """Attach code-point start and end: a match starts after all gaps and matches before it.
+    Gaps and matches come from the same matcher, so anchors and lookaround count as they ran."""
     empty = F.array().cast("array<struct<matched_text:string,start:int,end:int>>")
 
-    def step(acc: Column, match: Column) -> Column:
-        at = F.call_function("locate", match, text, acc.end + 1)
-        item = F.struct(
-            match.alias("matched_text"), F.when(fixed, at - 1).alias("start"),
-            F.when(fixed, at - 1 + F.length(match)).alias("end"),
-        )
-        return F.struct((at - 1 + F.length(match)).alias("end"), F.concat(acc["items"], F.array(item)).alias("items"))
+    def step(acc: Column, pair: Column) -> Column:
+        start = acc["end"] + F.length(pair["gap"])
+        end = start + F.length(pair["match"])
+        item = F.struct(pair["match"].alias("matched_text"), start.alias("start"), end.alias("end"))
+        return F.struct(end.alias("end"), F.concat(acc["items"], F.array(item)).alias("items"))
 
+    pairs = F.arrays_zip(found.alias("match"), F.slice(gaps, 1, F.size(found)).alias("gap"))
     start = F.struct(F.lit(0).alias("end"), empty.alias("items"))
-    return F.aggregate(found, start, step, lambda acc: acc["items"])
+    return F.aggregate(pairs, start, step, lambda acc: acc["items"])
 
 
 def signature_hits(df: DataFrame, text: str, rules: RuleSet) -> DataFrame:
     """One row per non-overlapping match of every pattern, case-insensitive.
 
     Columns: those of ``df`` but the text, then signature_id, category, action, pattern,
-    matched_text, start, end. Offsets are NULL for patterns whose matches depend on their
-    surroundings. The outer generators are on purpose: for a plain one Spark infers a filter
+    matched_text, start, end. The outer generators are on purpose: for a plain one Spark infers a filter
     on the array below it, which would match every pattern a second time.
     """
     keep = [c for c in df.columns if c != text]
@@ -152,15 +164,15 @@ def signature_hits(df: DataFrame, text: str, rules: RuleSet) -> DataFrame:
     for (pattern, rule), found in zip(rules.patterns, rules.match_texts(text, "_lower")):
         groups.append(
             f"named_struct('signature_id', {quote(rule.id)}, 'category', {quote(rule.category)}, "
-            f"'action', {quote(rule.action)}, 'pattern', {quote(pattern)}, "
-            f"'fixed', {str(not _depends_on_context(pattern)).lower()}, 'found', {found})"
+            f"'action', {quote(rule.action)}, 'pattern', {quote(pattern)}, 'found', {found}, "
+            f"'gaps', case when size({found}) > 0 then split({text}, {quote('(?i)(?d)' + pattern)}, -1) end)"
         )
     return (
         staged.select(*keep, text, F.expr(
             f"inline_outer(filter(array({', '.join(groups)}), g -> size(g.found) > 0))"))
         .where("signature_id is not null")
         .select(*keep, "signature_id", "category", "action", "pattern",
-                F.inline_outer(_with_offsets(F.col(text), F.col("found"), F.col("fixed"))))
+                F.inline_outer(_with_offsets(F.col("found"), F.col("gaps"))))
     )
 
 

@@ -84,10 +84,27 @@ def test_hits_and_offsets_against_python(spark):
     assert {g[1] for g in got} >= {r.id for r in RULES.rules} - {"PI-007", "PI-005"}
 
 
-def test_offsets_are_null_where_context_decides(spark):
-    rules = RuleSet((Rule("A", "a", patterns=(r"\bcat\b",)),))
-    row = signature_hits(texts(spark, ["concat cat"]), "text", rules).first()
-    assert (row.matched_text, row.start, row.end) == ("cat", None, None)
+def test_offsets_are_those_of_the_matcher(spark):
+    rules = RuleSet((Rule("A", "a", patterns=(r"\bcat\b", r"(?<=-)cat", r"^con|cat$")),))
+    rows = signature_hits(texts(spark, ["concat é-cat cat"]), "text", rules).collect()
+    assert sorted((r.pattern, r.start, r.end) for r in rows) == [
+        ("(?<=-)cat", 9, 12), (r"\bcat\b", 9, 12), (r"\bcat\b", 13, 16), ("^con|cat$", 0, 3), ("^con|cat$", 13, 16)]
+
+
+def test_patterns_of_either_dialect(spark):
+    rules = RuleSet((Rule("A", "a", patterns=(r"(?P<w>se)cret(?P=w)", r"end\Z", r"(?P<bad", r"possessive++", r"[[:alpha")),))
+    with pytest.warns(UserWarning):
+        usable = [p for p, _ in rules.patterns]
+    assert usable[:3] == [r"(?<w>se)cret\k<w>", r"end\z", "possessive++"]
+    rows = signature_hits(texts(spark, ["a secretse possessive\n", "the end", "the end\n"]), "text", rules).collect()
+    assert sorted((r.i, r.matched_text) for r in rows) == [(0, "possessive"), (0, "secretse"), (1, "end")]
+
+
+def test_a_rule_table_of_any_length(spark):
+    rules = RuleSet(tuple(Rule(f"R{i}", "r", patterns=(f"marker{i:04d}x", f"sign{i:04d}y")) for i in range(1000)))
+    back = RuleSet.from_dataframe(rules_dataframe(spark, rules))
+    assert len(back.rules) == 1000 and sum(len(r.patterns) for r in back.rules) == 2000
+    assert len(back.patterns) == 2000
 
 
 def test_ties_and_priorities(spark):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -83,12 +81,11 @@ def read_signatures(spark: SparkSession, path: str) -> DataFrame:
     Columns: ordinal, id, name, category, severity, action, scan_target, patterns, version.
     A missing path gives no rows. Files are ordered by name, entries as written.
     """
-    local = path.removeprefix("file:")
-    if "://" not in path and not os.path.exists(local):
+    if not _exists(spark, path):
         return local_table(spark, [], f"ordinal int, {SIGNATURE}, version string")
     files = (
         spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.y*ml").text(path, wholetext=True)
+        .option("pathGlobFilter", "*.{yaml,yml}").text(path, wholetext=True)
         .select(F.input_file_name().alias("file"), F.col("value").alias("content"))
     )
     parsed = files.mapInPandas(
@@ -98,13 +95,32 @@ def read_signatures(spark: SparkSession, path: str) -> DataFrame:
     numbered = parsed.selectExpr(
         "cast(row_number() over (order by file, pos) - 1 as int) as ordinal", *_FIELDS
     )
-    return numbered.withColumn("version", F.lit(read_signature_version(path)))
+    return numbered.withColumn("version", F.lit(read_signature_version(path, spark)))
 
 
-def read_signature_version(path: str) -> str:
-    """Text of the ``.version`` file beside the rules, '' if there is none."""
-    file = Path(path.removeprefix("file:")) / ".version"
-    return file.read_text(encoding="utf-8").strip() if file.is_file() else ""
+def _file(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop resolves it, whatever the default file system is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    system, at = _file(spark, path)
+    return system.exists(at)
+
+
+def read_signature_version(path: str, spark: SparkSession | None = None) -> str:
+    """Text of the ``.version`` file beside the rules, '' if there is none. A file that is
+    there but cannot be read is an error."""
+    spark = spark or SparkSession.active()
+    system, at = _file(spark, f"{path.rstrip('/')}/.version")
+    if not system.exists(at):
+        return ""
+    stream = system.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    finally:
+        stream.close()
 
 
 def read_bundles(bundles: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
@@ -136,7 +152,3 @@ def read_bundles(bundles: DataFrame, licenses: DataFrame | None = None) -> DataF
         F.coalesce("is_encrypted", F.lit(False)).alias("is_encrypted"),
         F.coalesce("signatures", empty).alias("signatures"),
     )
-
-
-def content_sections(content: str) -> list[str]:
-    return [s for s in re.split(SECTION, content) if s.strip()]

@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 from promptsieve import constants as K
+from promptsieve.functions.text import redact, redact_headers
 from promptsieve.operators.signatures import Rule, RuleSet
 
 RETRY_STATUS = frozenset({408, 429})
@@ -84,14 +86,28 @@ def write_events(events: DataFrame, path: str, checkpoint: str | None = None, tr
     )
 
 
-def to_json_log(df: DataFrame, level: Column, logger: Column, message: Column, ts: Column) -> DataFrame:
-    """One JSON line per row: timestamp, level, logger, message, then the other columns."""
+def _redacted(df: DataFrame, name: str) -> Column:
+    """Keys masked in a text column, secret headers in a map of texts; others as they are."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, StringType):
+        return redact(F.col(name)).alias(name)
+    if isinstance(kind, MapType) and isinstance(kind.keyType, StringType) and isinstance(kind.valueType, StringType):
+        return F.transform_values(redact_headers(F.col(name)), lambda _, v: redact(v)).alias(name)
+    return F.col(name)
+
+
+def to_json_log(
+    df: DataFrame, level: Column, logger: Column, message: Column, ts: Column, redact_keys: bool = True,
+) -> DataFrame:
+    """One JSON line per row: timestamp, level, logger, message, then the other columns. Keys
+    and secret headers are masked unless ``redact_keys`` is off."""
     head = [
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("timestamp"),
-        F.lower(level).alias("level"), logger.alias("logger"), message.alias("message"),
+        F.lower(level).alias("level"), logger.alias("logger"),
+        (redact(message) if redact_keys else message).alias("message"),
     ]
     taken = {"timestamp", "level", "logger", "message"}
-    rest = [F.col(c) for c in df.columns if c not in taken]
+    rest = [_redacted(df, c) if redact_keys else F.col(c) for c in df.columns if c not in taken]
     return df.select(F.to_json(F.struct(*head, *rest), {"ignoreNullFields": "false"}).alias("value"))
 
 

@@ -66,42 +66,18 @@ def response_outcome(df: DataFrame, body: str, rules: RuleSet, categories=()) ->
     })
 
 
-def _offsets(chunks: DataFrame, block: int) -> DataFrame:
-    """Append ``_before``: characters of the stream ahead of each chunk.
-
-    A long stream must not go through one task, so the running sum has two levels: sums per
-    block of ``block`` sequence numbers (pre-aggregated), a window over those, and a window
-    within each block.
-    """
-    cut = chunks.withColumn("_block", F.floor(F.col("seq") / block))
-    blocks = cut.groupBy("stream_id", "_block").agg(F.sum(F.length("payload")).alias("_size"))
-    ahead = Window.partitionBy("stream_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select(
-        "stream_id", "_block", F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_start"))
-    within = (
-        Window.partitionBy("stream_id", "_block").orderBy("seq")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        cut.join(starts, ["stream_id", "_block"])
-        .withColumn("_before", F.col("_start") + F.coalesce(
-            F.sum(F.length("payload")).over(within), F.lit(0)))
-        .drop("_block", "_start")
-    )
-
-
 def scan_stream_table(
     chunks: DataFrame, rules: RuleSet, mode: str = "buffered",
     buffer_size: int = K.STREAM_BUFFER_CHARS, categories=(), is_sse: bool = True,
-    max_bytes: int = K.MAX_RESPONSE_BYTES, block: int = 1024,
+    max_bytes: int = K.MAX_RESPONSE_BYTES,
 ) -> DataFrame:
     """Scan recorded streams (stream_id, seq, chunk); the batch form of the stream scan.
 
     passthrough: one row per chunk with a payload, each scanned by itself.
     buffered: one row per stream; the payloads up to and including the chunk that fills the
     buffer are joined and scanned, the rest is released unscanned.
-    full: one row per stream, all payloads joined. A stream beyond ``max_bytes`` is reported
-    as ``response_too_large`` and not gathered, so no group grows without bound.
+    full: one row per stream, all payloads joined and scanned. ``error_type`` tells beside the
+    result that a stream is larger than a response may be (``response_too_large``).
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}, expected one of {MODES}")
@@ -110,21 +86,19 @@ def scan_stream_table(
     if mode == "passthrough":
         return scan_responses(parts.where("payload <> ''"), "payload", rules, categories).drop("payload")
     if mode == "buffered":
-        # At most buffer_size non-empty chunks start inside the buffer: the group is bounded.
-        head = _offsets(parts.where("payload <> ''"), block).where(F.col("_before") < buffer_size)
-        too_large = None
+        # Every chunk has a character, so the buffer is full after as many chunks: Spark limits
+        # each stream to them before the shuffle, and the running sum is over a bounded group.
+        order = Window.partitionBy("stream_id").orderBy("seq")
+        first = parts.where("payload <> ''").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= buffer_size)
+        ahead = F.coalesce(F.sum(F.length("payload")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        head = first.withColumn("_before", ahead).where(F.col("_before") < buffer_size)
     else:
-        sizes = parts.groupBy("stream_id").agg(F.sum(F.octet_length("payload")).alias("_bytes"))
-        head = parts.join(sizes.where(F.col("_bytes") <= max_bytes).select("stream_id"), "stream_id", "left_semi")
-        too_large = sizes.where(F.col("_bytes") > max_bytes).select("stream_id")
+        head = parts
     joined = head.groupBy("stream_id").agg(
         F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("seq", "payload"))), lambda p: p.payload), "")
         .alias("content")
     )
-    scanned = scan_responses(joined, "content", rules, categories).drop("content")
-    scanned = scanned.withColumn("error_type", F.lit(None).cast("string"))
-    if too_large is None:
-        return scanned
-    return scanned.unionByName(
-        too_large.withColumn("error_type", F.lit("response_too_large")), allowMissingColumns=True)
+    too_large = F.lit(mode == "full") & (F.octet_length("content") > max_bytes)
+    joined = joined.withColumn("error_type", F.when(too_large, "response_too_large"))
+    return scan_responses(joined, "content", rules, categories).drop("content")

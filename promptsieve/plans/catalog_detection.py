@@ -231,7 +231,7 @@ SELECT o.request_id AS stream_id, coalesce(t.action = 'block', false) AS blocked
 
 def _stream(mode: str):
     def build(spark, sf):
-        scanned = R.scan_stream_table(_chunks(spark, sf), LEAK_RULES, mode, block=64)
+        scanned = R.scan_stream_table(_chunks(spark, sf), LEAK_RULES, mode)
         return scanned.select(
             "stream_id", "blocked", "response_category", F.col("scanned_length").cast("bigint").alias("scanned_length"))
 

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from promptsieve.functions.variant import parse_body
 from promptsieve.operators import evaluation as V
 from promptsieve.operators import lifecycle as L
 from promptsieve.operators import metrics as M
@@ -204,6 +205,38 @@ def test_live_stream_scan_keeps_state_across_batches(spark, folder):
     assert drain(J.scan_stream(live, rules, "passthrough"), "pass").count() == 4
 
 
+def test_stream_limits_expire_by_event_time(spark, folder):
+    start = datetime(2024, 1, 1)
+    at = lambda s: start + timedelta(seconds=s)
+    rows = [("1", "a", at(0)), ("2", "a", at(1)), ("3", None, at(1)), ("4", "a", at(5)), ("5", "a", None), ("6", "a", at(7200))]
+    live = as_stream(spark, spark.createDataFrame(rows, "event_id string, client string, ts timestamp").coalesce(1), folder)
+    got = {r.event_id: r.decision for r in drain(J.rate_limit_stream(live, rate=0.5, burst=1), "limits").collect()}
+    assert got == {"1": "allowed", "2": "limited", "3": "allowed", "4": "allowed", "6": "allowed"}
+
+
+def test_stream_stores_only_good_answers(spark, folder):
+    start = datetime(2024, 1, 1)
+    rows = [("1", "k", 0, False), ("2", "k", 1, True), ("3", "k", 2, False), ("4", "k", 20, None)]
+    rows = [(i, k, start + timedelta(seconds=s), ok) for i, k, s, ok in rows]
+    live = as_stream(spark, spark.createDataFrame(rows, "request_id string, key string, ts timestamp, ok boolean").coalesce(1), folder)
+    got = {r.request_id: r.is_hit for r in drain(J.repeat_hits_stream(live, 10, storable="ok"), "repeats").collect()}
+    assert got == {"1": False, "2": False, "3": True, "4": False}
+
+
+def test_log_lines_hold_no_keys(spark):
+    row = [("sk-" + "a" * 40, {"Authorization": "Bearer abcdefghijklmnop", "X-Id": "7"})]
+    df = spark.createDataFrame(row, "note string, headers map<string,string>")
+    c = lambda s: F.lit(s)
+    line = S.to_json_log(df, c("INFO"), c("gw"), F.col("note"), F.lit("2024-01-01").cast("timestamp")).first().value
+    assert "sk-aaaa" not in line and "abcdefghijklmnop" not in line and '"X-Id":"7"' in line
+
+
+def test_bodies_may_begin_with_any_blank(spark):
+    df = spark.createDataFrame([('\n{"a": 1}',), ('\t {"a": 1}',), ("[1]",), ("3",), (None,), ("{",)], "body string")
+    got = [r.ok for r in df.select(parse_body(F.col("body")).isNotNull().alias("ok")).collect()]
+    assert got == [True, True, False, False, False, False]
+
+
 def test_refreshing_rules(spark, folder):
     versions = iter([RuleSet((Rule("A", "a", patterns=("foo",)),)), RuntimeError("broken"), RuleSet((Rule("B", "b", patterns=("foo",)),))])
 

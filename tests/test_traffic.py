@@ -260,15 +260,15 @@ def test_stream_table_against_sequential(spark, mode):
     streams["hot"] = ["xy"] * 900
     rows = [(s, i, f"data: {c}\n\n") for s, cs in streams.items() for i, c in enumerate(cs)]
     df = spark.createDataFrame(rows, "stream_id string, seq int, chunk string").repartition(7)
-    got = scan_stream_table(df, LEAKS, mode, buffer_size=50, block=16).collect()
+    got = scan_stream_table(df, LEAKS, mode, buffer_size=50).collect()
     want = sorted((s, len(t)) for s, cs in streams.items() for t in python_stream(cs, mode, 50))
     assert sorted((r.stream_id, r.scanned_length) for r in got) == want
 
 
 def test_full_stream_too_large_is_reported(spark):
     df = spark.createDataFrame([("a", 0, "data: " + "x" * 50), ("b", 0, "data: ok")], "stream_id string, seq int, chunk string")
-    got = {r.stream_id: r.error_type for r in scan_stream_table(df, LEAKS, "full", max_bytes=20).collect()}
-    assert got == {"a": "response_too_large", "b": None}
+    got = {r.stream_id: (r.error_type, r.scanned_length) for r in scan_stream_table(df, LEAKS, "full", max_bytes=20).collect()}
+    assert got == {"a": ("response_too_large", 50), "b": (None, 2)}
 
 
 def test_rate_limit_against_sequential(spark):

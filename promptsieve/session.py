@@ -59,24 +59,15 @@ def local_table(spark: SparkSession, rows, schema: str) -> DataFrame:
     return spark.createDataFrame(table, struct)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core for a CPU-bound scan of a source table.
-
-    A small table often is a single row group and so a single task. Large tables have more
-    splits than cores and are left as they are: no shuffle is added to them.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder that all executors see, below the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) it is a temporary folder.
+    Only on one machine (a ``local`` master) it may be unset, and is then a temporary folder.
     """
     key = "spark.checkpoint.dir"
     base = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
-    base = base or tempfile.mkdtemp(prefix="promptsieve-")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {key} to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="promptsieve-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

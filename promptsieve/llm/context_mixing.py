@@ -9,8 +9,13 @@ token and in the byte (the gate), and the mixed odds are refined by an adaptive
 far, odds) to what came. The sum of -log2 of the bits' probabilities is the
 cost of the text; per byte of its stream it is the ``bits per byte``.
 
-No context crosses a token, so a token always costs the same, and the work is done once for each
-different token of the corpus:
+No context of these crosses a token, so a token costs the same wherever it stands, and this work is
+done once for each different token of the corpus. Above it, the text itself is a predictor: what
+followed earlier in this text after nothing, the last token and the last two is mixed in, in turn,
+as P = w * (share among the followers) + (1 - w) * P. Each w is logistic in a weight chosen by how
+often the context was seen and how many different tokens followed it (the gate). Every step adds up
+to one over all tokens, so scores stay log probabilities.
+
 
 1. Documents are cut into blocks of about BLOCK bytes; each gives its different tokens with their
    training counts, and its documents as token numbers (written to the shared folder).
@@ -21,7 +26,10 @@ different token of the corpus:
 4. Every vocabulary task passes once over its tokens, learning online: weights move after each
    part of the stream, and the counts exclude the very occurrence that is predicted. The learned
    weights are averaged and the maps summed.
-5. Every token is scored, scores go back to the blocks, and documents are summed up.
+5. Every token is scored, and the scores go back to the blocks, whose documents are written with
+   them.
+6. Tasks read these documents in parts of about TEXT_PART tokens and learn the weights of the
+   text's own contexts online from the training ones; they are averaged, and all are scored.
 
 Only the tables and weights, whose sizes are fixed, come to the driver and are sent to tasks.
 Documents outside the training folds are scored alike and never counted. The base score is the
@@ -59,14 +67,33 @@ START = (0.05, 0.05, 0.1, 0.1, 0.1, 0.7, 0.0)
 LEVELS = (1, 3, 9, 65, 1025)
 GATES, STEPS = 64 * (len(LEVELS) + 1), 24
 NODE = np.uint64(0x9FB21C651E98DF25)
-TOKENS = ("block long, doc_id long, held_out boolean, n_tokens long, ids binary, times binary, "
-          "words array<string>, train array<long>")
+TOKENS = "block long, doc_id long, held_out boolean, n_tokens long, ids binary, words array<string>, train array<long>"
+#: Contexts of 0 to 2 earlier tokens of the same text, their first weights, and the steps' size.
+ORDERS, TEXT_START, TEXT_RATE = 3, (-2.0, -1.0, 0.0), 0.3
+#: Levels of a context's count and of its followers, and the gates of an order.
+TIMES = (2, 3, 4, 6, 10, 20, 40, 80, 160, 320, 640, 1280)
+FOLLOWERS = (0.1, 0.25, 0.45, 0.65, 0.8, 0.9, 0.99)
+TEXT_GATES = (len(TIMES) + 1) * (len(FOLLOWERS) + 1)
+TEXT_PART = 1 << 17
+TEXTS = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
+         "bytes long, ids binary, alone binary")
+SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
+          "score double, bits_per_byte double")
+
+
+def packed(ids: np.ndarray) -> bytes:
+    """32-bit numbers by byte planes: the high ones are mostly zero and compress away."""
+    return ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _tokenise(folds: int, held: int):
     schema = pa.schema([
         ("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-        ("ids", pa.binary()), ("times", pa.binary()), ("words", pa.list_(pa.string())), ("train", pa.list_(pa.int64()))])
+        ("ids", pa.binary()), ("words", pa.list_(pa.string())), ("train", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -79,16 +106,15 @@ def _tokenise(folds: int, held: int):
                     words = texts[i].lower().split()
                     words.append(b"\n")
                     own = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words))
-                    ids, times = np.unique(own, return_counts=True)
                     away = fold(doc_ids[i], folds) == held
                     if not away:
                         if len(number) > len(train):
                             train = np.concatenate([train, np.zeros(len(number), np.int64)])
-                        train[ids] += times
-                    rows.append((block, doc_ids[i], away, len(words), ids.astype("<u4").tobytes(), times.astype("<u4").tobytes(), None, None))
+                        np.add.at(train, own, 1)
+                    rows.append((block, doc_ids[i], away, len(words), packed(own), None, None))
                 if len(number) > len(train):
                     train = np.concatenate([train, np.zeros(len(number), np.int64)])
-                rows.append((block, None, None, None, None, None, [w.decode("utf-8", "replace") for w in number], train[: len(number)].tolist()))
+                rows.append((block, None, None, None, None, [w.decode("utf-8", "replace") for w in number], train[: len(number)].tolist()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                 block += 1
     return run
@@ -329,26 +355,155 @@ def _score(model):
     return run
 
 
-def _sum_documents(n: int, v: int):
+def _documents(n: int, v: int):
+    """Documents of a block with the log10 probability of each of their tokens alone."""
     denominator = n + 0.5 * (v + 1)
 
     def run(key: tuple, docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         words = words.sort_values("place")
         c, score, size = (words[x].to_numpy() for x in ("c", "score", "bytes"))
-        base = np.log10((c + 0.5) / denominator)
+        base, alone = np.log10((c + 0.5) / denominator), score.astype("<f4")
         out = []
-        for doc_id, held_out, n_tokens, ids, times in docs[["doc_id", "held_out", "n_tokens", "ids", "times"]].itertuples(index=False):
-            at, times = np.frombuffer(ids, "<u4"), np.frombuffer(times, "<u4").astype(np.int64)
-            length = int((size[at] * times).sum())
-            total = float((score[at] * times).sum())
-            out.append((doc_id, held_out, n_tokens, int(times[c[at] > 0].sum()), n, float((base[at] * times).sum()), total,
-                        -total / np.log10(2) / length))
-        frame = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+        for doc_id, held_out, n_tokens, ids in docs[["doc_id", "held_out", "n_tokens", "ids"]].itertuples(index=False):
+            at = unpacked(ids)
+            out.append((doc_id, held_out, n_tokens, int((c[at] > 0).sum()), n, float(base[at].sum()), int(size[at].sum()),
+                        ids, alone[at].tobytes()))
+        frame = pd.DataFrame(out, columns=[x.split()[0] for x in TEXTS.split(", ")])
         frame["doc_id"] = docs["doc_id"].array
         return frame
     return run
 
 
+def _numbered(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by pair and place, number of the pair, how often it came before) for each place."""
+    n = len(ids)
+    if n <= 1 << 20 and group.max() < 1 << 21 and ids.max() < 1 << 23:
+        key = np.sort((group.astype(np.uint64) << np.uint64(43)) | (ids.astype(np.uint64) << np.uint64(20)) | np.arange(n, dtype=np.uint64))
+        order = (key & np.uint64((1 << 20) - 1)).astype(np.int64)
+        key >>= np.uint64(20)
+    else:
+        key = (group.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    new = np.append(True, key[1:] != key[:-1])
+    start = np.flatnonzero(new)
+    rank = np.cumsum(new) - 1
+    number, before = np.empty(n, np.int64), np.empty(n, np.int64)
+    number[order] = rank
+    before[order] = np.arange(n) - start[rank]
+    return order, number, before
+
+
+def own_contexts(lengths: np.ndarray, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order, the places whose context came before in the same text, the share of their
+    token among what followed it, and their gate. A text's first contexts are new by its number."""
+    n = len(ids)
+    first = np.cumsum(lengths) - lengths
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    last = np.zeros(n, bool)
+    last[first + lengths - 1] = True
+    group, seen, by_context, result = doc, np.arange(n) - first[doc], np.arange(n), []
+    for k in range(ORDERS):
+        order, number, same = _numbered(group, ids)
+        other = (same[by_context] == 0).astype(np.int64)
+        count = np.cumsum(other) - other
+        begin = np.maximum.accumulate(np.where(seen[by_context] == 0, np.arange(len(by_context)), 0))
+        followers = np.zeros(n, np.int64)
+        followers[by_context] = count - count[begin]
+        at = np.flatnonzero(seen)
+        times = seen[at]
+        gate = np.searchsorted(TIMES, times, "right") * (len(FOLLOWERS) + 1) + np.searchsorted(FOLLOWERS, (followers[at] - 0.5) / times)
+        result.append((at, same[at] / times, gate))
+        by_context = order[~last[order]] + 1
+        group, earlier = np.empty(n, np.int64), np.zeros(n, np.int64)
+        group[1:], earlier[1:] = number[:-1], same[:-1]
+        group[first], earlier[first] = n + np.arange(len(lengths)), 0
+        seen = earlier
+    return result
+
+
+def mix_in_text(alone: np.ndarray, contexts: list, weight: np.ndarray, learn: bool = False) -> np.ndarray:
+    """Natural log probabilities of tokens in their text. If ``learn``, ``weight`` (orders, gates, 3:
+    weight, squared steps, tokens) moves by the error: the share of the context in the mixture
+    less the one that the weight gives it, as for a bit."""
+    p = alone.copy()
+    for k, (at, share, gate) in enumerate(contexts):
+        w = weight[k, gate, 0]
+        with np.errstate(divide="ignore"):
+            own = np.log(share) - np.log1p(np.exp(-w))
+        both = np.logaddexp(own, p[at] - np.log1p(np.exp(w)))
+        p[at] = both
+        if learn:
+            total = np.bincount(gate, minlength=TEXT_GATES)
+            used = total > 0
+            g = np.bincount(gate, np.exp(own - both) - 1 / (1 + np.exp(-w)), TEXT_GATES)[used] / total[used]
+            weight[k, used, 1] += g * g
+            weight[k, used, 0] = np.clip(weight[k, used, 0] + TEXT_RATE * g / np.sqrt(weight[k, used, 1]), -8, 8)
+            weight[k, :, 2] += total
+    return p
+
+
+def first_weights() -> np.ndarray:
+    weight = np.zeros((ORDERS, TEXT_GATES, 3))
+    weight[:, :, 0] = np.reshape(TEXT_START, (-1, 1))
+    weight[:, :, 1] = 1e-4
+    return weight
+
+
+def _text_parts(batch: pa.RecordBatch):
+    """(low, high, lengths, ids, log probabilities) of about TEXT_PART tokens; a longer text is a
+    part of its own. Numbers of different blocks may meet: contexts never leave a text."""
+    raw_ids, raw = values_of(batch, "ids"), values_of(batch, "alone")
+    low, size = 0, 0
+    for i in range(len(raw) + 1):
+        if low < i and (i == len(raw) or size + len(raw[i]) // 4 > TEXT_PART):
+            ids = np.concatenate([unpacked(x) for x in raw_ids[low:i]])
+            alone = np.frombuffer(b"".join(raw[low:i]), "<f4").astype(np.float64) * np.log(10)
+            yield low, i, np.array([len(x) // 4 for x in raw[low:i]]), ids, alone
+            low, size = i, 0
+        if i < len(raw):
+            size += len(raw[i]) // 4
+
+
+def _learn_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    weight = first_weights()
+    for batch in batches:
+        for _, _, lengths, ids, alone in _text_parts(batch):
+            mix_in_text(alone, own_contexts(lengths, ids), weight, learn=True)
+    if weight[:, :, 2].any():
+        yield pa.RecordBatch.from_arrays([pa.array([weight.tobytes()], pa.binary())], names=["weight"])
+
+
+def text_weights(texts: DataFrame, tasks: int) -> np.ndarray:
+    """Weights of the text's own contexts: the mean of the tasks', by the tokens that each saw."""
+    rows = texts.where("not held_out").select("ids", "alone").coalesce(tasks).mapInArrow(_learn_texts, "weight binary").collect()
+    start = first_weights()
+    mass = np.full(start.shape[:2], 1e-9)
+    total = start[:, :, 0] * 1e-9
+    for r in rows:
+        own = np.frombuffer(r.weight).reshape(start.shape)
+        total += own[:, :, 0] * own[:, :, 2]
+        mass += own[:, :, 2]
+    start[:, :, 0] = total / mass
+    return start
+
+
+def _score_texts(weight: np.ndarray):
+    keep = [x.split()[0] for x in TEXTS.split(", ")][:6]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.array(values_of(batch, "bytes"), np.float64)
+            score = np.zeros(len(size))
+            for low, high, lengths, ids, alone in _text_parts(batch):
+                p = mix_in_text(alone, own_contexts(lengths, ids), weight)
+                score[low:high] = np.add.reduceat(p, np.cumsum(lengths) - lengths) / np.log(10)
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(score), pa.array(-score / np.log10(2) / size)], names=[*keep, "score", "bits_per_byte"])
+    return run
+
+
 def scores(docs: DataFrame, folds: int = 5, held: int = 1, tasks: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = prepared(docs.sparkSession)
@@ -364,7 +519,6 @@ def scores(docs: DataFrame, folds: int = 5, held: int = 1, tasks: int | None = N
     model = spark.sparkContext.broadcast(train(vocabulary, tasks))
     scored = vocabulary.mapInArrow(_score(model), "word string, c long, score double, bytes long")
     places = lists.select(F.col("block").alias("part"), F.posexplode("words").alias("place", "word")).join(scored, "word").select("part", "place", "c", "score", "bytes")
-    documents = tokens.where("words is null").select("block", "doc_id", "held_out", "n_tokens", "ids", "times")
-    return documents.groupBy("block").cogroup(places.groupBy("part")).applyInPandas(
-        _sum_documents(n, v),
-        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    documents = tokens.where("words is null").select("block", "doc_id", "held_out", "n_tokens", "ids")
+    texts = saved(documents.groupBy("block").cogroup(places.groupBy("part")).applyInPandas(_documents(n, v), TEXTS), "texts")
+    return texts.mapInArrow(_score_texts(text_weights(texts, tasks)), SCORES)

@@ -417,6 +417,52 @@ def test_lm_is_a_distribution():
     assert (10 ** total[prefix.first]).sum() == pytest.approx(1, rel=1e-5)
 
 
+def test_lm_contexts_of_the_text():
+    """Counts of the text's own contexts against a walk over it; both forms of the sort."""
+    rng = np.random.default_rng(5)
+    lengths = np.array([1, 60, 3, 200, 1, 1])
+    ids = rng.integers(0, 6, lengths.sum()).astype(np.uint32)
+    want = []
+    for order in range(context_mixing.ORDERS):
+        rows, at = [], 0
+        for n in lengths:
+            after = collections.defaultdict(collections.Counter)
+            for i in range(n):
+                if i >= order:
+                    c = after[tuple(ids[at + i - order: at + i])]
+                    if c:
+                        times = c.total()
+                        level = sum(times >= x for x in context_mixing.TIMES)
+                        ratio = (len(c) - 0.5) / times
+                        gate = level * (len(context_mixing.FOLLOWERS) + 1) + sum(ratio > x for x in context_mixing.FOLLOWERS)
+                        rows.append((at + i, c[ids[at + i]] / times, gate))
+                    c[ids[at + i]] += 1
+            at += n
+        want.append(rows)
+    for numbers in (ids, ids + (1 << 24)):
+        got = context_mixing.own_contexts(lengths, numbers)
+        assert [[tuple(x) for x in zip(*(c.tolist() for c in g))] for g in got] == want
+    assert (context_mixing.unpacked(context_mixing.packed(ids << 7)) == ids << 7).all()
+
+
+def test_lm_text_mixture_adds_up_to_one():
+    """Over all next tokens of a text; learning raises the probability of a repeating text."""
+    alone = np.log(np.array([0.1, 0.2, 0.3, 0.25, 0.15]))
+    text = [0, 1, 2, 0, 1, 3, 0, 1]
+    weight = context_mixing.first_weights()
+    total = 0
+    for x in range(5):
+        ids = np.array([*text, x], np.uint32)
+        total += np.exp(context_mixing.mix_in_text(alone[ids], context_mixing.own_contexts(np.array([9]), ids), weight)[-1])
+    assert total == pytest.approx(1)
+    ids = np.array([0, 1, 2, 3] * 30, np.uint32)
+    contexts = context_mixing.own_contexts(np.array([120]), ids)
+    before = context_mixing.mix_in_text(alone[ids], contexts, weight).sum()
+    for _ in range(5):
+        context_mixing.mix_in_text(alone[ids], contexts, weight, learn=True)
+    assert context_mixing.mix_in_text(alone[ids], contexts, weight).sum() > before
+
+
 def labelled(spark):
     rows, labels = [], []
     for i in range(400):

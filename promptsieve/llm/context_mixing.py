@@ -68,13 +68,13 @@ LEVELS = (1, 3, 9, 65, 1025)
 GATES, STEPS = 64 * (len(LEVELS) + 1), 24
 NODE = np.uint64(0x9FB21C651E98DF25)
 TOKENS = "block long, doc_id long, held_out boolean, n_tokens long, ids binary, words array<string>, train array<long>"
-#: Contexts of 0 to 2 earlier tokens of the same text, their first weights, and the steps' size.
-ORDERS, TEXT_START, TEXT_RATE = 3, (-2.0, -1.0, 0.0), 0.3
+#: Contexts of 0 to 2 earlier tokens of the same text, and their first weights.
+ORDERS, TEXT_START = 3, (-2.0, -1.0, 0.0)
 #: Levels of a context's count and of its followers, and the gates of an order.
 TIMES = (2, 3, 4, 6, 10, 20, 40, 80, 160, 320, 640, 1280)
 FOLLOWERS = (0.1, 0.25, 0.45, 0.65, 0.8, 0.9, 0.99)
 TEXT_GATES = (len(TIMES) + 1) * (len(FOLLOWERS) + 1)
-TEXT_PART = 1 << 17
+TEXT_PART = 1 << 16
 TEXTS = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
          "bytes long, ids binary, alone binary")
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
@@ -423,9 +423,9 @@ def own_contexts(lengths: np.ndarray, ids: np.ndarray) -> list[tuple[np.ndarray,
 
 
 def mix_in_text(alone: np.ndarray, contexts: list, weight: np.ndarray, learn: bool = False) -> np.ndarray:
-    """Natural log probabilities of tokens in their text. If ``learn``, ``weight`` (orders, gates, 3:
-    weight, squared steps, tokens) moves by the error: the share of the context in the mixture
-    less the one that the weight gives it, as for a bit."""
+    """Natural log probabilities of tokens in their text. If ``learn``, ``weight`` (orders, gates, 2:
+    weight, tokens) moves by the error, as for a bit: the share of the context in the mixture less
+    the one that the weight gives it, by its slope. Steps shrink as a gate has seen more tokens."""
     p = alone.copy()
     for k, (at, share, gate) in enumerate(contexts):
         w = weight[k, gate, 0]
@@ -436,17 +436,17 @@ def mix_in_text(alone: np.ndarray, contexts: list, weight: np.ndarray, learn: bo
         if learn:
             total = np.bincount(gate, minlength=TEXT_GATES)
             used = total > 0
-            g = np.bincount(gate, np.exp(own - both) - 1 / (1 + np.exp(-w)), TEXT_GATES)[used] / total[used]
-            weight[k, used, 1] += g * g
-            weight[k, used, 0] = np.clip(weight[k, used, 0] + TEXT_RATE * g / np.sqrt(weight[k, used, 1]), -8, 8)
-            weight[k, :, 2] += total
+            part = 1 / (1 + np.exp(-weight[k, used, 0]))
+            error = np.bincount(gate, np.exp(own - both), TEXT_GATES)[used] / total[used] - part
+            weight[k, :, 1] += total
+            step = error / (part * (1 - part)) * np.sqrt(total[used] / weight[k, used, 1])
+            weight[k, used, 0] = np.clip(weight[k, used, 0] + np.clip(step, -1, 1), -8, 8)
     return p
 
 
 def first_weights() -> np.ndarray:
-    weight = np.zeros((ORDERS, TEXT_GATES, 3))
+    weight = np.zeros((ORDERS, TEXT_GATES, 2))
     weight[:, :, 0] = np.reshape(TEXT_START, (-1, 1))
-    weight[:, :, 1] = 1e-4
     return weight
 
 
@@ -470,7 +470,7 @@ def _learn_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, lengths, ids, alone in _text_parts(batch):
             mix_in_text(alone, own_contexts(lengths, ids), weight, learn=True)
-    if weight[:, :, 2].any():
+    if weight[:, :, 1].any():
         yield pa.RecordBatch.from_arrays([pa.array([weight.tobytes()], pa.binary())], names=["weight"])
 
 
@@ -482,8 +482,8 @@ def text_weights(texts: DataFrame, tasks: int) -> np.ndarray:
     total = start[:, :, 0] * 1e-9
     for r in rows:
         own = np.frombuffer(r.weight).reshape(start.shape)
-        total += own[:, :, 0] * own[:, :, 2]
-        mass += own[:, :, 2]
+        total += own[:, :, 0] * own[:, :, 1]
+        mass += own[:, :, 1]
     start[:, :, 0] = total / mass
     return start
 

@@ -26,8 +26,8 @@ to one over all tokens, so scores stay log probabilities.
 4. Every vocabulary task passes once over its tokens, learning online: weights move after each
    part of the stream, and the counts exclude the very occurrence that is predicted. The learned
    weights are averaged and the maps summed.
-5. Every token is scored, and the scores go back to the blocks, whose documents are written with
-   them.
+5. Every token is scored, and the scores go back to the blocks, which are written with
+   them, a row each.
 6. Tasks read these documents in parts of about TEXT_PART tokens and learn the weights of the
    text's own contexts online from the training ones; they are averaged, and all are scored.
 
@@ -75,19 +75,21 @@ TIMES = (2, 3, 4, 6, 10, 20, 40, 80, 160, 320, 640, 1280)
 FOLLOWERS = (0.1, 0.25, 0.45, 0.65, 0.8, 0.9, 0.99)
 TEXT_GATES = (len(TIMES) + 1) * (len(FOLLOWERS) + 1)
 TEXT_PART = 1 << 16
-TEXTS = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
-         "bytes long, ids binary, alone binary")
+#: Scored words that a task packs together, and the forms of their columns.
+PLACES, FORMS = 1 << 20, {"place": "<u4", "c": "<i8", "score": "<f4", "bytes": "<u4"}
+TEXTS = ("doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_known array<long>, base_score array<double>, "
+         "bytes array<long>, ids binary, alone binary")
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
           "score double, bits_per_byte double")
 
 
-def packed(ids: np.ndarray) -> bytes:
-    """32-bit numbers by byte planes: the high ones are mostly zero and compress away."""
-    return ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def packed(values: np.ndarray, form: str = "<u4") -> bytes:
+    """Numbers by byte planes: the high ones of small numbers are zero and compress away."""
+    return np.ascontiguousarray(values, form).view(np.uint8).reshape(len(values), -1).T.tobytes()
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def unpacked(raw: bytes, form: str = "<u4") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(form).itemsize, -1).T).view(form).ravel()
 
 
 def _tokenise(folds: int, held: int):
@@ -355,22 +357,44 @@ def _score(model):
     return run
 
 
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scored words of a block, packed: few large rows take a fraction of the shuffle. Holds about
+    PLACES words at a time."""
+    def rows(held):
+        part, *columns = (np.concatenate([np.asarray(b.column(b.schema.get_field_index(c))) for b in held]) for c in ("part", *FORMS))
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        packs = [[packed(x, f) for x in np.split(c[order], start[1:])] for c, f in zip(columns, FORMS.values())]
+        return pa.RecordBatch.from_arrays([pa.array(part[start]), *(pa.array(x, pa.binary()) for x in packs)], names=["part", *FORMS])
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= PLACES:
+            yield rows(held)
+            held, size = [], 0
+    if held:
+        yield rows(held)
+
+
 def _documents(n: int, v: int):
-    """Documents of a block with the log10 probability of each of their tokens alone."""
+    """Documents of a block as one row, with the log10 probability of each word alone."""
     denominator = n + 0.5 * (v + 1)
 
     def run(key: tuple, docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        words = words.sort_values("place")
-        c, score, size = (words[x].to_numpy() for x in ("c", "score", "bytes"))
-        base, alone = np.log10((c + 0.5) / denominator), score.astype("<f4")
-        out = []
-        for doc_id, held_out, n_tokens, ids in docs[["doc_id", "held_out", "n_tokens", "ids"]].itertuples(index=False):
-            at = unpacked(ids)
-            out.append((doc_id, held_out, n_tokens, int((c[at] > 0).sum()), n, float(base[at].sum()), int(size[at].sum()),
-                        ids, alone[at].tobytes()))
-        frame = pd.DataFrame(out, columns=[x.split()[0] for x in TEXTS.split(", ")])
-        frame["doc_id"] = docs["doc_id"].array
-        return frame
+        place, c, score, size = (np.concatenate([unpacked(x, f) for x in words[name]]) for name, f in FORMS.items())
+        order = np.argsort(place)
+        c, score, size = c[order], score[order], size[order]
+        base = np.log10((c + 0.5) / denominator)
+        at = [unpacked(x) for x in docs["ids"]]
+        # Ids come as text: pandas would turn a column with NULLs into floats.
+        plain = [[None if x is None else int(x) for x in docs["doc_id"]], docs["held_out"].tolist(), docs["n_tokens"].tolist()]
+        sums = [[int((c[x] > 0).sum()) for x in at], [float(base[x].sum()) for x in at], [int(size[x].sum()) for x in at]]
+        return pd.DataFrame([[*plain, *sums, packed(np.concatenate(at)), packed(score, "<f4")]],
+                            columns=[x.split()[0] for x in TEXTS.split(", ")])
     return run
 
 
@@ -450,33 +474,38 @@ def first_weights() -> np.ndarray:
     return weight
 
 
-def _text_parts(batch: pa.RecordBatch):
+def _blocks_of(batches: Iterator[pa.RecordBatch]):
+    """Each block's row, with the lengths of its texts, their tokens and the words' log probabilities."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            yield row, np.array(row["n_tokens"]), unpacked(row["ids"]), unpacked(row["alone"], "<f4").astype(np.float64) * np.log(10)
+
+
+def _text_parts(lengths: np.ndarray, ids: np.ndarray, alone: np.ndarray):
     """(low, high, lengths, ids, log probabilities) of about TEXT_PART tokens; a longer text is a
-    part of its own. Numbers of different blocks may meet: contexts never leave a text."""
-    raw_ids, raw = values_of(batch, "ids"), values_of(batch, "alone")
-    low, size = 0, 0
-    for i in range(len(raw) + 1):
-        if low < i and (i == len(raw) or size + len(raw[i]) // 4 > TEXT_PART):
-            ids = np.concatenate([unpacked(x) for x in raw_ids[low:i]])
-            alone = np.frombuffer(b"".join(raw[low:i]), "<f4").astype(np.float64) * np.log(10)
-            yield low, i, np.array([len(x) // 4 for x in raw[low:i]]), ids, alone
-            low, size = i, 0
-        if i < len(raw):
-            size += len(raw[i]) // 4
+    part of its own."""
+    bounds, low = np.append(0, np.cumsum(lengths)), 0
+    while low < len(lengths):
+        high = max(low + 1, np.searchsorted(bounds, bounds[low] + TEXT_PART, "right") - 1)
+        at = ids[bounds[low]: bounds[high]]
+        yield low, high, lengths[low:high], at, alone[at]
+        low = high
 
 
 def _learn_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     weight = first_weights()
-    for batch in batches:
-        for _, _, lengths, ids, alone in _text_parts(batch):
-            mix_in_text(alone, own_contexts(lengths, ids), weight, learn=True)
+    for row, lengths, ids, alone in _blocks_of(batches):
+        known = ~np.array(row["held_out"])
+        for _, _, own, at, p in _text_parts(lengths[known], ids[np.repeat(known, lengths)], alone):
+            mix_in_text(p, own_contexts(own, at), weight, learn=True)
     if weight[:, :, 1].any():
         yield pa.RecordBatch.from_arrays([pa.array([weight.tobytes()], pa.binary())], names=["weight"])
 
 
 def text_weights(texts: DataFrame, tasks: int) -> np.ndarray:
     """Weights of the text's own contexts: the mean of the tasks', by the tokens that each saw."""
-    rows = texts.where("not held_out").select("ids", "alone").coalesce(tasks).mapInArrow(_learn_texts, "weight binary").collect()
+    rows = texts.select("held_out", "n_tokens", "ids", "alone").coalesce(tasks).mapInArrow(_learn_texts, "weight binary").collect()
     start = first_weights()
     mass = np.full(start.shape[:2], 1e-9)
     total = start[:, :, 0] * 1e-9
@@ -488,19 +517,19 @@ def text_weights(texts: DataFrame, tasks: int) -> np.ndarray:
     return start
 
 
-def _score_texts(weight: np.ndarray):
-    keep = [x.split()[0] for x in TEXTS.split(", ")][:6]
+def _score_texts(weight: np.ndarray, n: int):
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
+        ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = np.array(values_of(batch, "bytes"), np.float64)
-            score = np.zeros(len(size))
-            for low, high, lengths, ids, alone in _text_parts(batch):
-                p = mix_in_text(alone, own_contexts(lengths, ids), weight)
-                score[low:high] = np.add.reduceat(p, np.cumsum(lengths) - lengths) / np.log(10)
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(score), pa.array(-score / np.log10(2) / size)], names=[*keep, "score", "bits_per_byte"])
+        for row, lengths, ids, alone in _blocks_of(batches):
+            score = np.zeros(len(lengths))
+            for low, high, own, at, p in _text_parts(lengths, ids, alone):
+                score[low:high] = np.add.reduceat(mix_in_text(p, own_contexts(own, at), weight), np.cumsum(own) - own) / np.log(10)
+            columns = [row["doc_id"], row["held_out"], row["n_tokens"], row["n_known"], [n] * len(score), row["base_score"],
+                       score, -score / np.log10(2) / np.array(row["bytes"])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
     return run
 
 
@@ -518,7 +547,9 @@ def scores(docs: DataFrame, folds: int = 5, held: int = 1, tasks: int | None = N
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     model = spark.sparkContext.broadcast(train(vocabulary, tasks))
     scored = vocabulary.mapInArrow(_score(model), "word string, c long, score double, bytes long")
-    places = lists.select(F.col("block").alias("part"), F.posexplode("words").alias("place", "word")).join(scored, "word").select("part", "place", "c", "score", "bytes")
-    documents = tokens.where("words is null").select("block", "doc_id", "held_out", "n_tokens", "ids")
+    places = lists.select(F.col("block").alias("part"), F.posexplode("words").alias("place", "word")).join(scored, "word").select("part", "place", "c", F.col("score").cast("float").alias("score"), "bytes")
+    places = places.mapInArrow(_by_block, "part long, place binary, c binary, score binary, bytes binary")
+    documents = tokens.where("words is null").select(
+        "block", F.col("doc_id").cast("string").alias("doc_id"), "held_out", "n_tokens", "ids")
     texts = saved(documents.groupBy("block").cogroup(places.groupBy("part")).applyInPandas(_documents(n, v), TEXTS), "texts")
-    return texts.mapInArrow(_score_texts(text_weights(texts, tasks)), SCORES)
+    return texts.mapInArrow(_score_texts(text_weights(texts, tasks), n), SCORES)

@@ -395,6 +395,8 @@ def test_lm_base_scores_and_probabilities(docs, empty):
     assert got == want
     assert all(r.score < 0 and math.isfinite(r.score) and r.bits_per_byte > 0 for r in rows)
     assert context_mixing.scores(empty).count() == 0
+    large = docs.limit(20).withColumn("doc_id", F.when(F.col("doc_id") != 9, F.col("doc_id") + ((1 << 60) + 1)))
+    assert {r.doc_id for r in context_mixing.scores(large).collect()} == {r.doc_id for r in large.collect()}
 
 
 def test_lm_is_a_distribution():

@@ -126,14 +126,15 @@ def to_prometheus(metrics: DataFrame) -> DataFrame:
     labels = F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
     whole = F.col("value") == F.floor("value")
     number = F.when(whole, F.col("value").cast("bigint").cast("string")).otherwise(F.col("value").cast("string"))
-    samples = metrics.select(
-        "name", F.lit(2).alias("part"),
-        F.concat("name", F.coalesce(labels, F.lit("")), F.lit(" "), number).alias("value"))
-    heads = metrics.select("name", "help", "type").distinct().select("name", F.inline(F.array(
-        F.struct(F.lit(0).alias("part"), F.concat(F.lit("# HELP "), "name", F.lit(" "), "help").alias("value")),
-        F.struct(F.lit(1).alias("part"), F.concat(F.lit("# TYPE "), "name", F.lit(" "), "type").alias("value")),
-    )))
-    return heads.unionByName(samples).orderBy("name", "part", "value").select("value")
+    line = lambda part, *text: F.struct(F.lit(part).alias("part"), F.concat(*text).alias("value"))
+    # One pass over the metrics: each row brings its heads along, and equal lines are counted.
+    lines = metrics.select("name", F.inline(F.array(
+        line(0, F.lit("# HELP "), "name", F.lit(" "), "help"), line(1, F.lit("# TYPE "), "name", F.lit(" "), "type"),
+        line(2, "name", F.coalesce(labels, F.lit("")), F.lit(" "), number),
+    ))).groupBy("name", "part", "value").agg(F.count("*").cast("int").alias("n"))
+    times = F.when(F.col("part") < 2, 1).otherwise(F.col("n"))
+    return lines.select("name", "part", F.explode(F.array_repeat("value", times)).alias("value")).orderBy(
+        "name", "part", "value").select("value")
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

@@ -46,7 +46,8 @@ def _complexity(spark, sf):
     c = F.col("complexity")
     return complexity(base).select(
         "request_id", c.tier.alias("tier"), F.round(c.raw_score, 6).alias("score"),
-        c.reasoning_markers.cast("bigint").alias("reasoning_markers"), c.has_complexity_signal.alias("has_signal"))
+        c.reasoning_markers.cast("bigint").alias("reasoning_markers"), c.has_complexity_signal.alias("has_signal"),
+        *[c.breakdown[n].alias(f"part_{n}") for n in K.COMPLEXITY_WEIGHTS])
 
 
 def _tiers(spark, sf):
@@ -259,7 +260,7 @@ def _detections(spark, sf):
     from promptsieve.operators.responses import scan_responses
 
     scans = _resolved(spark, sf).withColumns({
-        "body": F.to_json(F.struct(F.lit("gpt-4o").alias("model"), F.col("label").alias("prompt"))),
+        "body": F.to_json(F.struct(F.lit("gpt-4o").alias("model"), F.col("text").alias("prompt"))),
         "provider": F.lit("openai"), "endpoint": F.lit("/v1")})
     leaks = scan_responses(X.table(spark, sf, "documents").selectExpr("doc_id as request_id", "text"), "text", LEAK_RULES)
     return U.detection_events(scans, leaks).groupBy("event_type", "category", "signature_id", "model").agg(
@@ -271,7 +272,7 @@ def _detections_sql() -> str:
 
     kept = LEAK_RULES.for_responses()
     leak = rules_cte(kept).replace("rules AS", "leak_rules AS", 1) + ", " + matches_cte(kept, "outputs").replace("matches AS", "leak_matches AS", 1)
-    body = "'{\"model\":\"gpt-4o\",\"prompt\":\"' || label || '\"}'"
+    body = "'{\"model\":\"gpt-4o\",\"prompt\":' || to_json(text)::VARCHAR || '}'"
     return f"""{RESOLVED}, {_OUTPUTS}, {leak},
 leaks AS (SELECT * FROM (SELECT request_id, category, id, row_number() OVER (PARTITION BY request_id ORDER BY {RANK.format('action')} DESC, ord) AS rn
   FROM leak_matches JOIN leak_rules USING (ord)) WHERE rn = 1),
@@ -313,11 +314,18 @@ parts AS (SELECT 'routing' AS source, 'projected' AS state, (input_tokens * (q.i
 SELECT source, state, count(*) AS requests, sum(millionths)::DOUBLE / 1e6 AS saved_usd FROM parts GROUP BY ALL
 UNION ALL SELECT 'response_cache', 'realized', n, (n * (100 * 2.5 + 20 * 10.0))::DOUBLE / 1e6 FROM cached WHERE n > 0"""
 
+#: Parts of the score at 3 places; a tie in the tokens' part (thousandths are halves) goes to the even side.
+_BREAKDOWN = ", ".join([
+    "least(n_tokens // 2 + (n_tokens % 2) * (n_tokens // 2 % 2), 1000) / 1000.0::DOUBLE AS part_tokens",
+    "has_code::INT::DOUBLE AS part_code", "has_steps::INT::DOUBLE AS part_multistep",
+    *[f"round(least(n_{n} / {bound}.0::DOUBLE, 1.0::DOUBLE), 3) AS part_{n}" for n, bound in (
+        ("reasoning", 2), ("technical", 3), ("analysis", 1), ("simple", 2), ("question", 3))]])
+
 ENTRIES = {
     "cst_complexity": (
         _complexity,
         f"WITH {X.PROMPTS}, {_score_ctes('prompts', 'text')} SELECT request_id, tier, round(raw_score, 6) AS score, "
-        "n_reasoning::BIGINT AS reasoning_markers, has_signal FROM scored"),
+        f"n_reasoning::BIGINT AS reasoning_markers, has_signal, {_BREAKDOWN} FROM scored"),
     "cst_downgrade_eligible": (
         _tiers,
         f"WITH {_score_ctes('documents', 'text')} SELECT tier, tier IN ('trivial', 'simple') AND NOT has_signal AS eligible, count(*) AS n FROM scored GROUP BY ALL"),

@@ -18,6 +18,7 @@ NULL is an empty text. The work per row is linear in its length, whatever it hol
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +30,7 @@ from promptsieve.llm.common import prepared, values_of
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -169,9 +170,12 @@ def spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[t
     if r is None or r.text == text:
         return base, added
     for kind, found in detect(r.text).items():
+        starts = [x for x, _ in base[kind]]
         for a, b in found:
             low, high = r.start[a], r.end[b - 1]
-            if all(high <= x or low >= y for x, y in base[kind]):
+            # Base spans are in order and apart: the last that starts before ``high`` decides.
+            k = bisect_right(starts, high - 1)
+            if k == 0 or base[kind][k - 1][1] <= low:
                 added[kind].append((low, high))
     return base, added
 

@@ -301,6 +301,15 @@ def test_pii_leaves_clean_text_alone(text):
     assert not any(base.values()) and not any(added.values())
 
 
+def test_pii_long_texts_take_linear_time():
+    """Digit runs and many addresses, plain and disguised, at a size where squares would show."""
+    assert not any(pii.detect("7" * 300_000)["ip"])
+    text = " ".join(f"u{i}@a.com v{i} [at] b [dot] com" for i in range(20_000))
+    base, added = pii.spans(text)
+    assert len(base["email"]) == len(added["email"]) == 20_000
+    assert all(text[a:b] == f"v{i} [at] b [dot] com" for i, (a, b) in enumerate(added["email"]))
+
+
 def test_pii_rows(docs, empty):
     got = {(r.doc_id, r.base_sha256) for r in pii.digests(pii.personal_data(docs)).collect()}
     assert got == {(i, hashlib.sha256(base_pii(t or "").encode()).hexdigest()) for i, t in corpus()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,19 +16,57 @@ _JUDGED = "client string, at bigint, allowed bigint"
 
 
 def _bucket(batches: Iterator[pd.DataFrame], rate: float, burst: int) -> Iterator[pd.DataFrame]:
-    """Token bucket over sorted (client, run, at in ms, n); a run starts with a full bucket."""
+    """Token bucket over sorted (client, run, at in ms, n); a run starts with a full bucket.
+
+    A run that asks for no more than ``burst`` gets it all, which is settled for all such runs of
+    a batch at once; only the others are walked.
+    """
     current, last, tokens = None, 0, float(burst)
     for batch in batches:
-        allowed = []
-        for client, run, at, n in batch[["client", "run", "at", "n"]].itertuples(index=False):
-            if (client, run) != current:
-                current, last, tokens = (client, run), at, float(burst)
-            tokens = min(float(burst), tokens + (at - last) * rate / 1000.0)
-            last = at
-            taken = min(int(n), int(tokens + 1e-9))
-            tokens -= taken
-            allowed.append(taken)
-        yield pd.DataFrame({"client": batch["client"], "at": batch["at"], "allowed": allowed})
+        if batch.empty:
+            continue
+        client, run, at, n = (batch[c].to_numpy() for c in ("client", "run", "at", "n"))
+        starts = np.flatnonzero(np.append(True, (client[1:] != client[:-1]) | (run[1:] != run[:-1])))
+        ends = np.append(starts[1:], len(n))
+        allowed = n.copy()
+        walked = np.add.reduceat(n, starts) > burst
+        walked[0] |= (client[0], run[0]) == current
+        walked[-1] = True  # may go on in the next batch
+        for a, b in zip(starts[walked].tolist(), ends[walked].tolist()):
+            if (client[a], run[a]) != current:
+                current, last, tokens = (client[a], run[a]), int(at[a]), float(burst)
+            for k, t, asked in zip(range(a, b), at[a:b].tolist(), n[a:b].tolist()):
+                tokens = min(float(burst), tokens + (t - last) * rate / 1000.0)
+                last = t
+                allowed[k] = min(asked, int(tokens + 1e-9))
+                tokens -= allowed[k]
+        yield pd.DataFrame({"client": client, "at": at, "allowed": allowed})
+
+
+def _runs(ticks: DataFrame, slot_ms: int, rate: float) -> DataFrame:
+    """(client, slot, run): a run begins with a slot at whose first event the bucket is full, even
+    if every event before it had been admitted, so it does not depend on what came before.
+
+    With x = events asked for before a moment, less tokens refilled up to it, the bucket is full
+    where x falls to a new minimum. Both parts are summed in two levels, per slot and over a
+    client's slots, so a client that never idles is spread over its slots. Beginnings within
+    rounding of the minimum are left out; a longer run gives the same answer.
+    """
+    refilled = lambda at: (at - F.col("slot") * slot_ms) * (rate / 1000.0)
+    within = Window.partitionBy("client", "slot").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    asked = F.coalesce(F.sum("n").over(within), F.lit(0))
+    slots = ticks.withColumn("x", asked - refilled(F.col("at"))).groupBy("client", "slot").agg(
+        F.sum("n").alias("n"), F.min("x").alias("low"), (-refilled(F.min("at"))).alias("first"))
+    order = Window.partitionBy("client").orderBy("slot")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    level = F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("slot") * (slot_ms * rate / 1000.0)
+    lowest = F.min(F.col("level") + F.col("low")).over(before)
+    slack = 1e-3 + F.abs("level") * 1e-12
+    begins = F.coalesce(F.col("level") + F.col("first") <= lowest - slack, F.lit(True))
+    return (
+        slots.withColumn("level", level).withColumn("begin", F.when(begins, F.col("slot")))
+        .select("client", "slot", F.last("begin", ignorenulls=True).over(order).alias("run"))
+    )
 
 
 def _networks(lists: DataFrame, name: str) -> DataFrame:
@@ -77,9 +116,11 @@ def rate_limit(
     ``burst`` tokens refilled at ``rate`` per second. A limited event takes no token.
 
     The bucket is sequential per client, so its input is cut down: events of one millisecond
-    are one row (combined before the shuffle); an idle time in which the bucket fills up
-    begins an independent run, found over slots of that length; a run streams through its
-    task in constant memory. The counts are then joined back on (client, millisecond).
+    are one row (combined before the shuffle); wherever the bucket must be full again, a run
+    begins that does not depend on the ones before (``_runs``), so only a client that asks for
+    more than its rate keeps one task busy; a run streams through its task in constant memory.
+    The counts are then joined back on (client, millisecond). Events without a time are not
+    metered: their decision is NULL.
     """
     if lists is None:
         listed = events.withColumns({"_block": F.lit(False), "_allow": F.lit(False)})
@@ -92,13 +133,7 @@ def rate_limit(
     ticks = metered.groupBy(F.col("_client").alias("client"), F.col("_at").alias("at")).agg(
         F.count("*").alias("n")).withColumn("slot", F.floor(F.col("at") / slot_ms)).where(
         "client is not null and slot is not null")
-    order = Window.partitionBy("client").orderBy("slot")
-    begins = F.coalesce(F.col("slot") - F.lag("slot").over(order) > 1, F.lit(True))
-    # Equal filters and columns on both sides of the join let it read one shuffle twice.
-    runs = (
-        ticks.where("n > 0").select("client", "slot").distinct().withColumn("begin", F.when(begins, F.col("slot")))
-        .select("client", "slot", F.last("begin", ignorenulls=True).over(order).alias("run"))
-    )
+    runs = _runs(ticks, slot_ms, rate)
     judged = (
         ticks.join(runs, ["client", "slot"]).select("client", "run", "at", "n")
         .repartition("client", "run").sortWithinPartitions("client", "run", "at")
@@ -109,6 +144,7 @@ def rate_limit(
     nth = F.row_number().over(Window.partitionBy("_client", "_at", "_block", "_allow").orderBy(event_id))
     decision = (
         F.when(F.col("_block"), "blocked").when(F.col("_allow"), "listed")
+        .when(F.col("_at").isNull(), F.lit(None))
         .when(nth <= F.col("allowed"), "allowed").otherwise("limited")
     )
     return timed.join(judged, ["_client", "_at"], "left").select(*events.columns, decision.alias("decision"))

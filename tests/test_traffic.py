@@ -287,6 +287,33 @@ def test_rate_limit_against_sequential(spark):
     assert got == want
 
 
+def test_rate_limit_splits_a_client_that_never_idles(spark):
+    """Two events a second at ten tokens a second: never idle for the two seconds that fill the
+    bucket, but full again between most events, so slots are runs of their own."""
+    ticks = spark.range(4000).selectExpr("'hot' as client", "id * 500 as at", "1L as n", "id * 500 div 2000 as slot")
+    runs = L._runs(ticks, 2000, 10.0)
+    assert runs.count() == 1000 and runs.select("run").distinct().count() > 900
+    full = L._runs(ticks.withColumn("n", F.lit(6)), 2000, 10.0)  # more than is refilled
+    assert full.select("run").distinct().count() == 1
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_bucket_does_not_depend_on_batches(size):
+    rng = random.Random(size)
+    at = sorted({rng.randint(0, 4000) for _ in range(300)})
+    rows = pd.DataFrame({"client": "a", "run": [t // 1000 for t in at], "at": at, "n": [rng.randint(1, 4) for _ in at]})
+    parts = [rows.iloc[i:i + size] for i in range(0, len(rows), size)]
+    got = pd.concat(L._bucket(iter(parts), 20.0, 5))["allowed"].tolist()
+    want, key = [], None
+    for r in rows.itertuples():
+        if r.run != key:
+            key, last, tokens = r.run, r.at, 5.0
+        tokens, last = min(5.0, tokens + (r.at - last) * 20 / 1000), r.at
+        want.append(min(r.n, int(tokens + 1e-9)))
+        tokens -= want[-1]
+    assert got == want
+
+
 def test_concurrency(spark):
     t = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
     rows = [("a", t(0), t(10)), ("a", t(5), t(7)), ("a", t(10), t(12)), ("b", t(0), t(9000)), ("b", t(8000), t(8001))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StringIndexer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,6 +74,56 @@ def classify(
     return scored.select(*df.columns, found.alias(output))
 
 
+def _token_counts(df: DataFrame, text: str, by: list[str]) -> DataFrame:
+    """(by..., token, n): runs of ASCII letters, lower-cased, summed before any shuffle."""
+    words = F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))
+    return df.select(*by, F.explode(words).alias("token")).groupBy(*by, F.lower("token").alias("token")).agg(
+        F.count("*").alias("n"))
+
+
+def naive_bayes_fit(df: DataFrame, text: str = "text", label: str = "label") -> tuple[DataFrame, list[Row]]:
+    """Multinomial naive Bayes with add-one counts, in closed form over all labelled rows: tokens
+    (label, token, n) and, as rows on the driver, the classes (label, docs, tokens, vocabulary).
+
+    Rows without a label take no part; a NULL text has no tokens.
+    """
+    labelled = df.where(F.col(label).isNotNull())
+    tokens = _token_counts(labelled, text, [label]).withColumnRenamed(label, "label")
+    vocabulary = tokens.select("token").distinct().count()
+    sizes = tokens.groupBy("label").agg(F.sum("n").alias("tokens"))
+    classes = (
+        labelled.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("docs")).join(sizes, "label", "left")
+        .select("label", "docs", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.lit(vocabulary).alias("vocabulary"))
+    )
+    return tokens, sorted(classes.collect(), key=lambda r: r.label)  # a row per class
+
+
+def naive_bayes_classify(
+    df: DataFrame, key: str, tokens: DataFrame, classes: list[Row], text: str = "text",
+) -> DataFrame:
+    """(key, label, log_score, best) for each row and class; ``key`` is unique.
+
+    log_score = log(docs + 1) + sum of n * log((count + 1) / (tokens + vocabulary)). Known tokens
+    are joined and summed; what unknown ones add depends on the row's token total alone, so the
+    classes are literals. Of equal scores the first label is best. Without classes no rows.
+    """
+    counts = _token_counts(df, text, [key])
+    totals = df.select(key).join(counts.groupBy(key).agg(F.sum("n").alias("total")), key, "left")
+    known = counts.join(tokens.withColumnRenamed("n", "count"), "token").groupBy(key, "label").agg(
+        F.sum(F.col("n") * F.log(F.col("count") + F.lit(1.0))).alias("known"))
+    literal = F.array(*(F.struct(
+        F.lit(c.label).alias("label"), F.lit(math.log(c.docs + 1)).alias("prior"),
+        F.lit(math.log(max(1, c.tokens + c.vocabulary))).alias("shift")) for c in classes)
+    ).cast("array<struct<label:string,prior:double,shift:double>>")
+    score = F.col("prior") + F.coalesce("known", F.lit(0.0)) - F.coalesce("total", F.lit(0)) * F.col("shift")
+    scored = (
+        totals.select(key, "total", F.inline(literal)).join(known, [key, "label"], "left")
+        .select(key, "label", score.alias("log_score"))
+    )
+    order = Window.partitionBy(key).orderBy(F.round("log_score", 6).desc(), "label")
+    return scored.withColumn("best", F.row_number().over(order) == 1)
+
+
 def as_probabilities(outputs: np.ndarray) -> np.ndarray:
     """Softmax per row, but only for rows with values outside [0, 1]."""
     scores = np.asarray(outputs, dtype=np.float64)

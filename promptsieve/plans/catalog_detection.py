@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from promptsieve import constants as K
 from promptsieve.operators import responses as R
-from promptsieve.operators.classifier import active_model, classify, classify_batch, train_classifier
+from promptsieve.operators.classifier import (
+    active_model, classify, classify_batch, naive_bayes_classify, naive_bayes_fit, train_classifier,
+)
 from promptsieve.operators.evasion import evasion_signals, explode_signals
 from promptsieve.operators.fusion import ScanConfig, fuse
 from promptsieve.operators.signatures import Rule, RuleSet, best_signature, signature_hits
 from promptsieve.plans.catalog_text import B64_COUNT, LETTERS, ROT13, UNHEX, ZW, _count, phrase_sql
-from promptsieve.plans.detection import check
+from promptsieve.plans.detection import MutatorRegistry, check
 from promptsieve.plans.traffic import PROMPTS, prompts, quoted, table, values
 from promptsieve.sources.signatures import default_rules
 from promptsieve.sources.sinks import public_verdicts, to_json_log
@@ -244,14 +246,60 @@ def _labelled(spark, sf):
         "doc_id", "text", F.when(F.col("toxic") == 1, "toxic_content").otherwise("safe").alias("label"))
 
 
+def _held_out():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
 def _classify(spark, sf):
+    """Fitted outside of a fold of the labelled rows, and judged on that fold."""
     data = _labelled(spark, sf)
-    model = train_classifier(data, features=1 << 12, max_iter=5)
-    return classify(data, model, threshold=0.5).select(
+    model = train_classifier(data.where(~_held_out()), features=1 << 12, max_iter=5)
+    return classify(data.where(_held_out()), model, threshold=0.5).select(
         "doc_id", "label", F.size("ml").cast("bigint").alias("n"),
         F.try_element_at("ml", F.lit(1))["category"].alias("category"))
 
 
+# DuckDB has no crc32, so the closed-form model is held out by a hash that both have.
+_FOLD = "md5(cast(cast(doc_id as {}) as {})) >= 'd'"
+
+
+def _naive_bayes(spark, sf):
+    data = _labelled(spark, sf).withColumn("held", F.expr(_FOLD.format("string", "binary")))
+    model = naive_bayes_fit(data.where("not held"))
+    scored = naive_bayes_classify(data.where("held"), "doc_id", *model)
+    return scored.select("doc_id", "label", F.round("log_score", 4).alias("log_score"), "best")
+
+
+_NAIVE_BAYES = f"""WITH data AS (SELECT doc_id, text, CASE WHEN toxic = 1 THEN 'toxic_content' ELSE 'safe' END AS label,
+  {_FOLD.format("varchar", "varchar")} AS held FROM labels JOIN documents USING (doc_id)),
+words AS (SELECT doc_id, label, held, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS token FROM data),
+model AS (SELECT label, token, count(*) AS c FROM words WHERE NOT held GROUP BY ALL),
+classes AS (SELECT label, count(*) AS docs, (SELECT coalesce(sum(c), 0) FROM model m WHERE m.label = d.label) AS tokens,
+  (SELECT count(DISTINCT token) FROM model) AS vocabulary FROM data d WHERE NOT held GROUP BY label),
+sums AS (SELECT w.doc_id, k.label, sum(ln(coalesce(m.c, 0) + 1) - ln(k.tokens + k.vocabulary)) AS s
+  FROM words w CROSS JOIN classes k LEFT JOIN model m ON m.label = k.label AND m.token = w.token WHERE w.held GROUP BY ALL),
+scored AS (SELECT d.doc_id, k.label, ln(k.docs + 1) + coalesce(s, 0) AS log_score
+  FROM data d CROSS JOIN classes k LEFT JOIN sums ON sums.doc_id = d.doc_id AND sums.label = k.label WHERE d.held)
+SELECT doc_id, label, round(log_score, 4) AS log_score,
+  row_number() OVER (PARTITION BY doc_id ORDER BY round(log_score, 6) DESC, label) = 1 AS best FROM scored"""
+
+
+def _mutated(spark, sf):
+    """Three mutators before a scan: one rewrites, one cannot be planned, one changes nothing."""
+    registry = MutatorRegistry()
+    registry.register(lambda df: df.withColumn("text", F.replace("text", F.lit("@"), F.lit(" at "))))
+    registry.register(lambda df: df.withColumn("text", F.col("no_such_column")))
+    registry.register(lambda df: None)
+    hits = signature_hits(registry.apply(_outputs(spark, sf)), "text", LEAK_RULES)
+    return hits.groupBy("signature_id").agg(F.count("*").alias("n"), F.countDistinct("request_id").alias("texts"))
+
+
+_MUTATED = (
+    f"WITH {rules_cte(LEAK_RULES)}, changed AS (SELECT doc_id AS request_id, replace(text, '@', ' at ') AS text FROM documents), "
+    f"{matches_cte(LEAK_RULES, 'changed')} SELECT id AS signature_id, sum(len(found))::BIGINT AS n, count(DISTINCT request_id) AS texts "
+    "FROM matches JOIN rules USING (ord) GROUP BY id")
+
+
 _CLASSES = ("jailbreak", "prompt_injection", "benign")
 
 
@@ -353,6 +401,8 @@ ENTRIES = {
         f"{VERDICTS} SELECT action, category, count(*) AS n, count(*) FILTER (action = 'block') AS blocked, "
         "count(*) FILTER (action IN ('warn', 'block')) AS attention FROM verdicts GROUP BY ALL"),
     "det_classify": (_classify, None),
+    "det_naive_bayes": (_naive_bayes, _NAIVE_BAYES),
+    "det_mutators": (_mutated, _MUTATED),
     "det_classify_batch": (_batch_model, _BATCH_SQL),
     "det_active_model": (_model_loads, _LOADS_SQL),
     "snk_public_verdicts": (

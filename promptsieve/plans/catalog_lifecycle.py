@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from promptsieve.operators import lifecycle as L
 from promptsieve.operators import metrics as M
 from promptsieve.plans.traffic import table
+from promptsieve.sources.signatures import read_bundles
 
 NOW = "2024-01-30 06:00:00"
 
@@ -142,7 +143,37 @@ def _expired(spark, sf):
     return L.expired_bundles(_files(spark, sf), licenses, _now())
 
 
+def _contents(spark, sf):
+    """A bundle file per document: two rules and, in some, a section that is no YAML. Names are
+    digests of the whole texts; every tenth bundle has no id."""
+    rule = lambda n, action: (
+        f"'# === {n}.yaml ===\\nsignatures:\\n- id: {n}-' || doc_id || '\\n  name: ' || chr(34) || md5(cast(text as binary)) || chr(34) || "
+        f"'\\n  category: ' || lang || '\\n  severity: high\\n  action: {action}\\n  pattern: x\\n'")
+    return table(spark, sf, "documents").selectExpr(
+        "case when doc_id % 10 = 9 then '' else 'b' || doc_id end as bundle_id", "'v' || (doc_id % 4) as version",
+        "case when doc_id % 3 > 0 then 'pro' end as tier",
+        f"{rule('A', 'block')} || case when doc_id % 5 = 0 then '# === bad.yaml ===\\nsignatures: [\\n' else '' end || {rule('B', 'warn')} as content",
+        "case when doc_id % 2 = 0 then true end as is_encrypted",
+        "timestamp_seconds(1704067200 + doc_id) as expires_at", "doc_id % 4 = 0 as licensed")
+
+
+def _read_bundles(spark, sf):
+    contents = _contents(spark, sf)
+    licensed = contents.where("licensed and bundle_id <> ''").select("bundle_id", "expires_at")
+    read = read_bundles(contents.drop("expires_at", "licensed"), licensed)
+    return read.select(
+        "bundle_id", "version", "tier", F.unix_seconds("expires_at").alias("expires"), "is_encrypted",
+        F.array_join(F.transform("signatures", lambda s: F.concat_ws(":", s["id"], s["name"], s["category"], s["action"])), ",").alias("signatures"))
+
+
+_READ_BUNDLES = """SELECT 'b' || doc_id AS bundle_id, 'v' || (doc_id % 4) AS version, CASE WHEN doc_id % 3 > 0 THEN 'pro' ELSE 'free' END AS tier,
+  CASE WHEN doc_id % 4 = 0 THEN 1704067200 + doc_id END AS expires, doc_id % 2 = 0 AS is_encrypted,
+  'A-' || doc_id || ':' || md5(text) || ':' || lang || ':block,B-' || doc_id || ':' || md5(text) || ':' || lang || ':warn' AS signatures
+FROM documents WHERE doc_id % 10 <> 9"""
+
+
 ENTRIES = {
+    "src_bundles": (_read_bundles, _READ_BUNDLES),
     "sig_active_signatures": (
         _active,
         f"WITH {_BUNDLES} SELECT user_id AS bundle_order, row_number() OVER (PARTITION BY user_id ORDER BY category) - 1 AS pos, id, category "

@@ -13,8 +13,8 @@ from promptsieve.plans import traffic as X
 from promptsieve.plans.catalog_cost import _requests, _route_ctes
 from promptsieve.plans.catalog_detection import VERDICTS, verdicts
 from promptsieve.plans.catalog_policy import RESOLVED, _resolved
-from promptsieve.sources.sinks import to_prometheus
-from promptsieve.session import local_table
+from promptsieve.sources.sinks import to_prometheus, write_events
+from promptsieve.session import local_table, shared_folder
 
 _LOG = (
     "event_type as upstream", "case when user_id % 2 = 0 then 'POST' else 'GET' end as method",
@@ -238,7 +238,22 @@ _PROMETHEUS = rf"""WITH {LOG}, c AS (SELECT upstream, method, status, count(*) A
 SELECT '# HELP requests_total Requests processed' AS value UNION ALL SELECT '# TYPE requests_total counter'
 UNION ALL SELECT 'requests_total{{method="' || method || '",status="' || status || '",upstream="' || upstream || '\"x\\"}} ' || n FROM c"""
 
+def _event_sink(spark, sf):
+    """Events written by kind and day, read back and counted."""
+    events = X.table(spark, sf, "events").selectExpr(
+        "event_id", "cast(ts as timestamp) as ts", "case event_type when 'click' then 'usage' else event_type end as event_type")
+    folder = shared_folder(spark, "events")
+    write_events(events, folder)
+    return spark.read.parquet(folder).groupBy("kind", F.col("date").cast("string").alias("date")).agg(
+        F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+_EVENT_SINK = """SELECT CASE event_type WHEN 'click' THEN 'usage' ELSE 'detection' END AS kind, strftime(ts, '%Y-%m-%d') AS date,
+count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY ALL"""
+
+
 ENTRIES = {
+    "snk_events": (_event_sink, _EVENT_SINK),
     "agg_request_counts": (
         _request_counts, f"WITH {LOG} SELECT upstream, method, status::BIGINT AS status, count(*) AS n FROM log GROUP BY ALL"),
     "agg_scan_counts": (

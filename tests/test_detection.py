@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from promptsieve import constants as K
 from promptsieve.operators.classifier import (
-    active_model, as_probabilities, class_labels, classify, train_classifier,
+    active_model, as_probabilities, class_labels, classify, train_classifier, naive_bayes_classify, naive_bayes_fit,
 )
 from promptsieve.operators.evasion import evasion_signals
 from promptsieve.operators.fusion import ScanConfig, fuse
@@ -201,3 +202,18 @@ def test_active_model_against_sequential(spark):
         expected[account] = current
     df = spark.createDataFrame(rows, "account int, load_seq int, tier string, model_id string")
     assert {r.account: r.model_id for r in active_model(df, ("account",)).collect()} == expected
+
+
+def test_naive_bayes(spark):
+    """Add-one counts by hand: three words of class a, two of class b, a vocabulary of four."""
+    train = spark.createDataFrame(
+        [(1, "Red red sun", "a"), (2, "blue sky", "b"), (3, None, "b"), (4, "gone", None)], "id int, text string, label string")
+    tokens, classes = naive_bayes_fit(train)
+    assert [(c.label, c.docs, c.tokens, c.vocabulary) for c in classes] == [("a", 1, 3, 4), ("b", 2, 2, 4)]
+    rows = spark.createDataFrame([(1, "red RED moon"), (2, None), (3, "sky")], "id int, text string")
+    got = {(r.id, r.label): (r.log_score, r.best) for r in naive_bayes_classify(rows, "id", tokens, classes).collect()}
+    want = {(1, "a"): math.log(2 * 3 * 3 / 7**3), (1, "b"): math.log(3 / 6**3), (2, "a"): math.log(2), (2, "b"): math.log(3),
+            (3, "a"): math.log(2 / 7), (3, "b"): math.log(3 * 2 / 6)}
+    assert {k: v[0] for k, v in got.items()} == pytest.approx(want)
+    assert {k for k, v in got.items() if v[1]} == {(1, "a"), (2, "b"), (3, "b")}
+    assert naive_bayes_classify(rows, "id", tokens, []).count() == 0

@@ -82,5 +82,21 @@ def gate_sql(tree, lowered: str) -> str:
     return "(" + f" {tree[0]} ".join(gate_sql(p, lowered) for p in parts) + ")"
 
 
+def needs_non_ascii(pattern: str) -> bool:
+    """Whether every match of ``pattern`` begins with a character of a set outside ASCII, the
+    letters that fold to ASCII ones excluded: a text of as many bytes as characters has none."""
+    try:
+        op, arg = sre.parse(pattern)[0]
+    except (sre.error, IndexError):
+        return False
+    if op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] >= 1 and len(arg[2]) == 1:
+        op, arg = arg[2][0]
+    if op is not sre.IN:
+        return False
+    low = [a if o is sre.LITERAL else a[0] if o is sre.RANGE else 0 for o, a in arg]
+    return min(low, default=0) >= 128 and not any(
+        a <= ord(c) <= b for o, x in arg for a, b in [(x, x) if o is sre.LITERAL else x] for c in FOLDING_LETTERS)
+
+
 def has_folding_letters(text: str) -> str:
     return f"(octet_length({text}) > length({text}) and {text} rlike '[{FOLDING_LETTERS}]')"

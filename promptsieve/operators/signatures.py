@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptsieve import constants as K
-from promptsieve.functions.gates import gate_sql, quote, required_words
+from promptsieve.functions.gates import gate_sql, needs_non_ascii, quote, required_words
 
 CANDIDATE = (
     "array<struct<action:string,category:string,signature_id:string,detail:string,"
@@ -101,9 +101,13 @@ class RuleSet:
 
         ``(?d)``: only a newline ends a line, as '.' is understood by the rules.
         """
+        def gate(pattern: str) -> str:
+            if needs_non_ascii(pattern):
+                return f"octet_length({text}) > length({text})"
+            return gate_sql(required_words(pattern), lowered)
+
         return [
-            f"case when {gate_sql(required_words(p), lowered)} then "
-            f"regexp_extract_all({text}, {quote('(?i)(?d)' + p)}, 0) end"
+            f"case when {gate(p)} then regexp_extract_all({text}, {quote('(?i)(?d)' + p)}, 0) end"
             for p, _ in self.patterns
         ]
 
@@ -159,16 +163,17 @@ def signature_hits(df: DataFrame, text: str, rules: RuleSet) -> DataFrame:
     on the array below it, which would match every pattern a second time.
     """
     keep = [c for c in df.columns if c != text]
-    staged = df.withColumn("_lower", F.lower(text))
-    groups = []
-    for (pattern, rule), found in zip(rules.patterns, rules.match_texts(text, "_lower")):
-        groups.append(
-            f"named_struct('signature_id', {quote(rule.id)}, 'category', {quote(rule.category)}, "
-            f"'action', {quote(rule.action)}, 'pattern', {quote(pattern)}, 'found', {found}, "
-            f"'gaps', case when size({found}) > 0 then split({text}, {quote('(?i)(?d)' + pattern)}, -1) end)"
-        )
+    # Matches are staged in a select of their own: the gaps are asked for only where there are any.
+    found = [F.expr(m).alias(f"_m{i}") for i, m in enumerate(rules.match_texts(text, "_lower"))]
+    staged = df.withColumn("_lower", F.lower(text)).select(*keep, text, *found)
+    groups = [
+        f"named_struct('signature_id', {quote(rule.id)}, 'category', {quote(rule.category)}, "
+        f"'action', {quote(rule.action)}, 'pattern', {quote(pattern)}, 'found', _m{i}, "
+        f"'gaps', case when size(_m{i}) > 0 then split({text}, {quote('(?i)(?d)' + pattern)}, -1) end)"
+        for i, (pattern, rule) in enumerate(rules.patterns)
+    ]
     return (
-        staged.select(*keep, text, F.expr(
+        staged.select(*keep, F.expr(
             f"inline_outer(filter(array({', '.join(groups)}), g -> size(g.found) > 0))"))
         .where("signature_id is not null")
         .select(*keep, "signature_id", "category", "action", "pattern",

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from promptsieve import constants as K
+from promptsieve.functions.gates import needs_non_ascii
 from promptsieve.operators.classifier import (
     active_model, as_probabilities, class_labels, classify, train_classifier, naive_bayes_classify, naive_bayes_fit,
 )
@@ -217,3 +218,11 @@ def test_naive_bayes(spark):
     assert {k: v[0] for k, v in got.items()} == pytest.approx(want)
     assert {k for k, v in got.items() if v[1]} == {(1, "a"), (2, "b"), (3, "b")}
     assert naive_bayes_classify(rows, "id", tokens, []).count() == 0
+
+
+@pytest.mark.parametrize("pattern, expected", [
+    ("[Ⓐ-ⓩ⓪]+", True), ("[！-～]{4,}", True), ("[！-～]*", False), ("[a！]+", False), ("[^！]", False),
+    ("[ſ-ƀ]+", False), (r"[\w！]+", False), ("！|a", False), ("", False),
+])
+def test_patterns_beyond_ascii(pattern, expected):
+    assert needs_non_ascii(pattern) is expected

@@ -12,7 +12,8 @@ words or brackets for ``@`` and ``.`` between the parts of an address. The same
 the rewritten text, and a span there maps back to the first and last source character it covers.
 A span that overlaps a base span of its kind is not added, so base spans always stay as they are.
 
-NULL is an empty text. The work per row is linear in its length, whatever it holds.
+NULL is an empty text. The work per row is linear in its length, but for long chains of single words
+joined by a bare "dot" without an "at", each of which is tried as the start of an address.
 """
 
 from __future__ import annotations

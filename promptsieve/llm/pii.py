@@ -35,17 +35,18 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-#: Characters that look like ASCII ones (fixed values): Cyrillic, then Greek.
+#: Characters that look like ASCII ones (fixed values): Cyrillic, then Greek, then Latin: a long s,
+#: an i without its dot and an I with one.
 LOOKS = dict(zip(
-    "аеорсухіјѕԁһԛԝАВЕКМНОРСТУХІЈЅ" "αοιερτνκΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
-    "aeopcyxijsdhqwABEKMHOPCTYXIJS" "aoieptvkABEZHIKMNOPTYX"))
+    "аеорсухіјѕԁһԛԝАВЕКМНОРСТУХІЈЅ" "αοιερτνκΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "ſıİ",
+    "aeopcyxijsdhqwABEKMHOPCTYXIJS" "aoieptvkABEZHIKMNOPTYX" "siI"))
 #: Characters that show nothing (fixed values): soft hyphen, zero-width ones, joiners, mark.
 NOTHING = frozenset("­​‌‍⁠﻿")
 #: Signs for ASCII signs (fixed values): dots, hyphens, at signs, no-break blanks.
 SIGNS = dict(zip("。．․‐‑‒–−＠﹫  ", "...-----@@  "))
 DIGITS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 NUMBER = {w: str(d) for d, w in enumerate(DIGITS)} | {"oh": "0", "plus": "+"}
-SPELLED = re.compile(r"(?<![A-Za-z])(?:" + "|".join(NUMBER) + r")(?![A-Za-z])", re.IGNORECASE)
+SPELLED = re.compile(r"(?<![A-Za-z])(?:" + "|".join(NUMBER) + r")(?![A-Za-z])", re.IGNORECASE | re.ASCII)
 AT = r"\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+|\s+AT\s+"
 DOT = r"\s*[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*|\s+dot\s+|\s+DOT\s+"
 ADDRESS = re.compile(

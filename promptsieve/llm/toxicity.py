@@ -46,6 +46,9 @@ IDENTITY = (
 OTHER = {term: own[(k + 1) % len(own)] for own in IDENTITY for k, term in enumerate(own)}
 TERM = re.compile(r"(?<!\w)(?:" + "|".join(sorted(OTHER, key=len, reverse=True)) + r")(?!\w)", re.IGNORECASE)
 
+#: What IGNORECASE takes for s and i, but lower() does not turn into them.
+FOLDED = str.maketrans("ſıİ", "sii")
+
 
 def counterfactuals(text: str) -> list[tuple[str, str]]:
     """(sentence, the sentence with its identity terms swapped) for those that have any."""
@@ -53,7 +56,7 @@ def counterfactuals(text: str) -> list[tuple[str, str]]:
         return []
     pairs = []
     for sentence in re.split(r"[.!?\n]+", text):
-        swapped = TERM.sub(lambda m: OTHER[m[0].lower()], sentence)
+        swapped = TERM.sub(lambda m: OTHER[m[0].translate(FOLDED).lower()], sentence)
         if swapped != sentence:
             pairs.append((sentence, swapped))
     return pairs

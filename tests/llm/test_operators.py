@@ -295,6 +295,13 @@ def test_pii_disguises_map_back(text, kind, hidden):
     assert [text[a:b] for a, b in added[kind] + base[kind] if text[a:b] == hidden] == [hidden]
 
 
+@pytest.mark.parametrize("text", ["five, ſix", "fıve six", "fİve six", "FIVE ſIX"])
+def test_pii_reads_letters_that_only_fold_to_ascii(text):
+    call = f"call plus one two six two five five five three seven {text} ok"
+    base, added = pii.spans(call)
+    assert [call[a:b] for a, b in added["phone"]] == [call[5:-3]]
+
+
 @pytest.mark.parametrize("text", ["He is at home. The dot is red.", "one of two at a time", "look at the dot here", "три слова"])
 def test_pii_leaves_clean_text_alone(text):
     base, added = pii.spans(text)
@@ -533,3 +540,14 @@ def test_counterfactual_penalty_lowers_identity_weights():
     a, b = np.array([1], np.int32), np.array([2], np.int32)
     free, held = toxicity.fit(rows, label, []), toxicity.fit(rows, label, [(a, b)] * 50)
     assert abs(held[1] - held[2]) < 0.5 * abs(free[1] - free[2])
+
+
+def test_counterfactuals_of_letters_that_only_fold_to_ascii():
+    """Every letter that IGNORECASE takes for one of a term's."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    for letter in sorted(set("".join(toxicity.OTHER))):
+        term = next(t for t in toxicity.OTHER if letter in t)
+        for c in re.findall(re.escape(letter), every, re.IGNORECASE):
+            text = term.replace(letter, c, 1)
+            assert toxicity.counterfactuals(text) == [(text, toxicity.OTHER[term])]
+    assert toxicity.counterfactuals("The muſlims and gırls") == [("The muſlims and gırls", "The christians and boys")]

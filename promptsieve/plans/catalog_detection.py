@@ -251,11 +251,13 @@ def _held_out():
 
 
 def _classify(spark, sf):
-    """Fitted outside of a fold of the labelled rows, and judged on that fold."""
-    data = _labelled(spark, sf)
-    model = train_classifier(data.where(~_held_out()), features=1 << 12, max_iter=5)
-    return classify(data.where(_held_out()), model, threshold=0.5).select(
-        "doc_id", "label", F.size("ml").cast("bigint").alias("n"),
+    """Fitted on the labelled rows outside of a fold; all documents are scored, with or without a label."""
+    labelled = _labelled(spark, sf)
+    model = train_classifier(labelled.where(~_held_out()), features=1 << 12, max_iter=5)
+    data = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(
+        labelled.select("doc_id", "label").distinct(), "doc_id", "left")
+    return classify(data, model, threshold=0.5).select(
+        "doc_id", "label", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), F.size("ml").cast("bigint").alias("n"),
         F.try_element_at("ml", F.lit(1))["category"].alias("category"))
 
 

@@ -47,3 +47,11 @@ def test_entry_and_coverage(spark):
     assert entry.entry(spark).count() > 0
     unchecked = {n for n, (_, sql) in catalog.entries().items() if sql is None}
     assert unchecked <= {"det_classify"}
+
+
+def test_classifier_scores_every_document(spark, duck):
+    rows = entry.queries()["det_classify"](spark, SF_DIR).collect()
+    want = duck.sql("select doc_id, case when l.doc_id is null then null when l.toxic = 1 then 'toxic_content' else 'safe' end "
+                    "from documents d left join labels l using (doc_id)").fetchall()
+    assert sorted(((r.doc_id, r.label) for r in rows), key=repr) == sorted(want, key=repr)
+    assert {r.held_out for r in rows} == {True, False} and {r.n for r in rows} <= {0, 1}

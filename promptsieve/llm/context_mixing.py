@@ -10,15 +10,16 @@ far, odds) to what came. The sum of -log2 of the bits' probabilities is the
 cost of the text; per byte of its stream it is the ``bits per byte``.
 
 No context of these crosses a token, so a token costs the same wherever it stands, and this work is
-done once for each different token of the corpus. Above it, the text itself is a predictor: what
-followed earlier in this text after nothing, the last token and the last two is mixed in, in turn,
-as P = w * (share among the followers) + (1 - w) * P. Each w is logistic in a weight chosen by how
-often the context was seen and how many different tokens followed it (the gate). Every step adds up
-to one over all tokens, so scores stay log probabilities.
-
+done once for each different token of the corpus. Above it come contexts of tokens: what followed the
+last token and the last two in all training texts, then what followed earlier in this text after
+nothing, the last token and the last two. They are mixed in, in turn, as
+P = w * (share among the followers) + (1 - w) * P. Each w is logistic in a weight chosen by how often
+the context was seen and, in the text, how many different tokens followed it or, of two tokens in the
+corpus, how often the later one was seen (the gate). Every step adds up to one over all tokens, so
+scores stay log probabilities. The token before a text's first is the end of another.
 
 1. Documents are cut into blocks of about BLOCK bytes; each gives its different tokens with their
-   training counts, and its documents as token numbers (written to the shared folder).
+   training counts, and its documents as token numbers (a row, written to the shared folder).
 2. Token counts are summed over all blocks: the vocabulary, sorted, and dealt by the first PREFIX
    bytes, so that all tokens with a longer beginning in common are in one task.
 3. Every vocabulary task fills count tables (of fixed sizes, parameters) from its tokens, weighted
@@ -26,10 +27,13 @@ to one over all tokens, so scores stay log probabilities.
 4. Every vocabulary task passes once over its tokens, learning online: weights move after each
    part of the stream, and the counts exclude the very occurrence that is predicted. The learned
    weights are averaged and the maps summed.
-5. Every token is scored, and the scores go back to the blocks, which are written with
-   them, a row each.
+5. Every token is scored, and the scores go back to the blocks. So do the training counts of all
+   pairs and triples of tokens: each block gives its different ones by a 64-bit hash with their
+   counts, dealt by the hash into parts of about DEALT; they are summed there, none is left out.
+   Blocks are written with scores and counts, a row each.
 6. Tasks read these documents in parts of about TEXT_PART tokens and learn the weights of the
-   text's own contexts online from the training ones; they are averaged, and all are scored.
+   contexts of tokens online from the training ones, whose counts exclude the very occurrence;
+   they are averaged, and all are scored.
 
 Only the tables and weights, whose sizes are fixed, come to the driver and are sent to tasks.
 Documents outside the training folds are scored alike and never counted. The base score is the
@@ -67,9 +71,13 @@ START = (0.05, 0.05, 0.1, 0.1, 0.1, 0.7, 0.0)
 LEVELS = (1, 3, 9, 65, 1025)
 GATES, STEPS = 64 * (len(LEVELS) + 1), 24
 NODE = np.uint64(0x9FB21C651E98DF25)
-TOKENS = "block long, doc_id long, held_out boolean, n_tokens long, ids binary, words array<string>, train array<long>"
+TOKENS = ("block long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, ids binary, words array<string>, "
+          "train array<long>")
 #: Contexts of 0 to 2 earlier tokens of the same text, and their first weights.
 ORDERS, TEXT_START = 3, (-2.0, -1.0, 0.0)
+#: First weights of the corpus' contexts of one and two earlier tokens, and pairs and triples of a part.
+CORPUS_START, DEALT = (0.0, 0.0), 1 << 20
+PAIR, TRIPLE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Levels of a context's count and of its followers, and the gates of an order.
 TIMES = (2, 3, 4, 6, 10, 20, 40, 80, 160, 320, 640, 1280)
 FOLLOWERS = (0.1, 0.25, 0.45, 0.65, 0.8, 0.9, 0.99)
@@ -78,7 +86,7 @@ TEXT_PART = 1 << 16
 #: Scored words that a task packs together, and the forms of their columns.
 PLACES, FORMS = 1 << 20, {"place": "<u4", "c": "<i8", "score": "<f4", "bytes": "<u4"}
 TEXTS = ("doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_known array<long>, base_score array<double>, "
-         "bytes array<long>, ids binary, alone binary")
+         "bytes array<long>, ids binary, alone binary, counts binary, pairs binary, triples binary")
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
           "score double, bits_per_byte double")
 
@@ -92,9 +100,19 @@ def unpacked(raw: bytes, form: str = "<u4") -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(form).itemsize, -1).T).view(form).ravel()
 
 
+def pressed(values: np.ndarray) -> bytes:
+    """Large columns of counts and hashes, small already in the JVM's rows."""
+    raw = packed(values, "<u8")
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpressed(raw: bytes) -> np.ndarray:
+    return unpacked(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True), "<i8")
+
+
 def _tokenise(folds: int, held: int):
     schema = pa.schema([
-        ("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
+        ("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())),
         ("ids", pa.binary()), ("words", pa.list_(pa.string())), ("train", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +121,7 @@ def _tokenise(folds: int, held: int):
             doc_ids, texts = values_of(batch, "doc_id"), texts_of(batch)
             for low, high in blocks(texts, BLOCK):
                 number: dict[bytes, int] = {}
-                rows, train = [], np.zeros(1 << 12, np.int64)
+                every, held_out, train = [], [], np.zeros(1 << 12, np.int64)
                 for i in range(low, high):
                     words = texts[i].lower().split()
                     words.append(b"\n")
@@ -113,11 +131,13 @@ def _tokenise(folds: int, held: int):
                         if len(number) > len(train):
                             train = np.concatenate([train, np.zeros(len(number), np.int64)])
                         np.add.at(train, own, 1)
-                    rows.append((block, doc_ids[i], away, len(words), packed(own), None, None))
+                    every.append(own)
+                    held_out.append(away)
                 if len(number) > len(train):
                     train = np.concatenate([train, np.zeros(len(number), np.int64)])
-                rows.append((block, None, None, None, None, [w.decode("utf-8", "replace") for w in number], train[: len(number)].tolist()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                row = (block, doc_ids[low:high], held_out, [len(x) for x in every], packed(np.concatenate(every)),
+                       [w.decode("utf-8", "replace") for w in number], train[: len(number)].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row, schema)], schema=schema)
                 block += 1
     return run
 
@@ -380,24 +400,95 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(held)
 
 
+def _grams(words: list[str], lengths: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each token with the one before it, and with the two before it where it is not a
+    text's first; equal tokens have equal hashes in all blocks."""
+    key = pd.util.hash_array(np.array(words, object), categorize=False)[ids]
+    first = np.cumsum(lengths) - lengths
+    before = np.empty_like(key)
+    before[1:] = key[:-1]
+    before[first] = key[lengths[0] - 1]
+    pair = mixed(before * PAIR + key)
+    earlier = np.empty_like(pair)
+    earlier[1:] = pair[:-1]
+    later = np.ones(len(ids), bool)
+    later[first] = False
+    return np.concatenate([pair, mixed(earlier[later] * TRIPLE + key[later])]), later
+
+
+def _count_grams(parts: int):
+    """A block's different pairs and triples, sorted, with their training counts, by part."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                lengths = np.array(row["n_tokens"])
+                keys, later = _grams(row["words"], lengths, unpacked(row["ids"]))
+                known = np.repeat(~np.array(row["held_out"]), lengths)
+                keys, at = np.unique(keys, return_inverse=True)
+                n = np.bincount(at, np.concatenate([known, known[later]]), len(keys))
+                part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                start = np.flatnonzero(np.diff(part, prepend=-1))
+                cut = start[1:]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row["block"]] * len(start)), pa.array(part[start]),
+                    pa.array([pressed(np.diff(k, prepend=np.uint64(0))) for k in np.split(keys, cut)], pa.binary()),
+                    pa.array([pressed(c) for c in np.split(n, cut)], pa.binary())], names=["block", "deal", "keys", "n"])
+    return run
+
+
+def _sum_grams(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """For each block its pairs' and triples' counts in all blocks, in its order."""
+    keys = [np.cumsum(unpressed(k).view(np.uint64)) for k in rows["keys"]]
+    _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, np.concatenate([unpressed(n) for n in rows["n"]]))[at]
+    cut = np.cumsum([len(k) for k in keys])[:-1]
+    return pd.DataFrame({"part": rows["block"], "deal": key[0], "total": [pressed(x) for x in np.split(total, cut)]})
+
+
 def _documents(n: int, v: int):
-    """Documents of a block as one row, with the log10 probability of each word alone."""
+    """Documents of a block as one row, with the log10 probability and the count of each word alone
+    and, for each token, the counts of its pair and its triple."""
     denominator = n + 0.5 * (v + 1)
 
-    def run(key: tuple, docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        words, grams = found[found["total"].isna()], found[found["total"].notna()].sort_values("deal")
         place, c, score, size = (np.concatenate([unpacked(x, f) for x in words[name]]) for name, f in FORMS.items())
         order = np.argsort(place)
         c, score, size = c[order], score[order], size[order]
         base = np.log10((c + 0.5) / denominator)
-        at = [unpacked(x) for x in docs["ids"]]
+        doc = docs.iloc[0]
+        lengths, ids = np.array(doc["n_tokens"]), unpacked(doc["ids"])
+        keys, later = _grams(doc["words"], lengths, ids)
+        total = np.concatenate([unpressed(x) for x in grams["total"]])[np.unique(keys, return_inverse=True)[1]]
+        triples = np.zeros(len(ids), np.int64)
+        triples[later] = total[len(ids):]
         # Ids come as text: pandas would turn a column with NULLs into floats.
-        plain = [[None if x is None else int(x) for x in docs["doc_id"]], docs["held_out"].tolist(), docs["n_tokens"].tolist()]
-        sums = [[int((c[x] > 0).sum()) for x in at], [float(base[x].sum()) for x in at], [int(size[x].sum()) for x in at]]
-        return pd.DataFrame([[*plain, *sums, packed(np.concatenate(at)), packed(score, "<f4")]],
+        plain = [[None if x is None else int(x) for x in doc["doc_id"]], list(doc["held_out"]), lengths.tolist()]
+        sums = [np.add.reduceat(x[ids], np.cumsum(lengths) - lengths).tolist() for x in ((c > 0).astype(np.int64), base, size.astype(np.int64))]
+        return pd.DataFrame([[*plain, *sums, doc["ids"], packed(score, "<f4"), pressed(c), pressed(total[: len(ids)]), pressed(triples)]],
                             columns=[x.split()[0] for x in TEXTS.split(", ")])
     return run
 
 
+def corpus_contexts(lengths: np.ndarray, ids: np.ndarray, counts: np.ndarray, pairs: np.ndarray, triples: np.ndarray,
+                    own: int = 0) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For one and two earlier tokens, the places whose context is in the training texts, the share of
+    their token among what followed it there, and their gate. ``own`` occurrences are left out."""
+    first = np.cumsum(lengths) - lengths
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    before[first] = ids[lengths[0] - 1]
+    once, twice = counts[before] - own, np.empty_like(pairs)
+    twice[1:] = pairs[:-1] - own
+    twice[first] = 0
+    one, two = np.flatnonzero(once > 0), np.flatnonzero(twice > 0)
+    gate = np.minimum(np.log2(twice[two]).astype(np.int64), len(TIMES)) * (len(FOLLOWERS) + 1) + np.minimum(
+        np.log2(once[two]).astype(np.int64) // 3, len(FOLLOWERS))
+    return [(one, (pairs[one] - own) / once[one], np.minimum((4 * np.log2(once[one])).astype(np.int64), TEXT_GATES - 1)),
+            (two, (triples[two] - own) / twice[two], gate)]
+
+
 def _numbered(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order by pair and place, number of the pair, how often it came before) for each place."""
     n = len(ids)
@@ -468,45 +559,50 @@ def mix_in_text(alone: np.ndarray, contexts: list, weight: np.ndarray, learn: bo
     return p
 
 
-def first_weights() -> np.ndarray:
-    weight = np.zeros((ORDERS, TEXT_GATES, 2))
-    weight[:, :, 0] = np.reshape(TEXT_START, (-1, 1))
+def first_weights(start: tuple = TEXT_START) -> np.ndarray:
+    weight = np.zeros((len(start), TEXT_GATES, 2))
+    weight[:, :, 0] = np.reshape(start, (-1, 1))
     return weight
 
 
 def _blocks_of(batches: Iterator[pa.RecordBatch]):
-    """Each block's row, with the lengths of its texts, their tokens and the words' log probabilities."""
+    """Each block's row, with the lengths of its texts, their tokens, the counts of these tokens' pairs
+    and triples, and the words' log probabilities and counts."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
-            yield row, np.array(row["n_tokens"]), unpacked(row["ids"]), unpacked(row["alone"], "<f4").astype(np.float64) * np.log(10)
+            tokens = (unpacked(row["ids"]), unpressed(row["pairs"]), unpressed(row["triples"]))
+            yield (row, np.array(row["n_tokens"]), tokens, unpacked(row["alone"], "<f4").astype(np.float64) * np.log(10),
+                   unpressed(row["counts"]))
 
 
-def _text_parts(lengths: np.ndarray, ids: np.ndarray, alone: np.ndarray):
-    """(low, high, lengths, ids, log probabilities) of about TEXT_PART tokens; a longer text is a
+def _text_parts(lengths: np.ndarray, tokens: tuple, alone: np.ndarray, counts: np.ndarray, own: int = 0):
+    """(low, high, lengths, log probabilities, contexts) of about TEXT_PART tokens; a longer text is a
     part of its own."""
     bounds, low = np.append(0, np.cumsum(lengths)), 0
     while low < len(lengths):
         high = max(low + 1, np.searchsorted(bounds, bounds[low] + TEXT_PART, "right") - 1)
-        at = ids[bounds[low]: bounds[high]]
-        yield low, high, lengths[low:high], at, alone[at]
+        ids, pairs, triples = (x[bounds[low]: bounds[high]] for x in tokens)
+        part = lengths[low:high]
+        yield low, high, part, alone[ids], corpus_contexts(part, ids, counts, pairs, triples, own) + own_contexts(part, ids)
         low = high
 
 
 def _learn_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    weight = first_weights()
-    for row, lengths, ids, alone in _blocks_of(batches):
+    weight = first_weights(CORPUS_START + TEXT_START)
+    for row, lengths, tokens, alone, counts in _blocks_of(batches):
         known = ~np.array(row["held_out"])
-        for _, _, own, at, p in _text_parts(lengths[known], ids[np.repeat(known, lengths)], alone):
-            mix_in_text(p, own_contexts(own, at), weight, learn=True)
+        kept = np.repeat(known, lengths)
+        for _, _, _, p, contexts in _text_parts(lengths[known], tuple(x[kept] for x in tokens), alone, counts, 1):
+            mix_in_text(p, contexts, weight, learn=True)
     if weight[:, :, 1].any():
         yield pa.RecordBatch.from_arrays([pa.array([weight.tobytes()], pa.binary())], names=["weight"])
 
 
 def text_weights(texts: DataFrame, tasks: int) -> np.ndarray:
-    """Weights of the text's own contexts: the mean of the tasks', by the tokens that each saw."""
-    rows = texts.select("held_out", "n_tokens", "ids", "alone").coalesce(tasks).mapInArrow(_learn_texts, "weight binary").collect()
-    start = first_weights()
+    """Weights of the contexts of tokens: the mean of the tasks', by the tokens that each saw."""
+    rows = texts.select("held_out", "n_tokens", "ids", "alone", "counts", "pairs", "triples").coalesce(tasks).mapInArrow(_learn_texts, "weight binary").collect()
+    start = first_weights(CORPUS_START + TEXT_START)
     mass = np.full(start.shape[:2], 1e-9)
     total = start[:, :, 0] * 1e-9
     for r in rows:
@@ -523,33 +619,46 @@ def _score_texts(weight: np.ndarray, n: int):
         ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, lengths, ids, alone in _blocks_of(batches):
+        for row, lengths, tokens, alone, counts in _blocks_of(batches):
             score = np.zeros(len(lengths))
-            for low, high, own, at, p in _text_parts(lengths, ids, alone):
-                score[low:high] = np.add.reduceat(mix_in_text(p, own_contexts(own, at), weight), np.cumsum(own) - own) / np.log(10)
+            for low, high, own, p, contexts in _text_parts(lengths, tokens, alone, counts):
+                score[low:high] = np.add.reduceat(mix_in_text(p, contexts, weight), np.cumsum(own) - own) / np.log(10)
             columns = [row["doc_id"], row["held_out"], row["n_tokens"], row["n_known"], [n] * len(score), row["base_score"],
                        score, -score / np.log10(2) / np.array(row["bytes"])]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
     return run
 
 
+def _saved(df: DataFrame, purpose: str) -> DataFrame:
+    """As ``saved``; the shuffle files behind it are removed at once, as the later steps do not read them."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return saved(df, purpose)
+    finally:
+        conf.set(key, before)
+
+
 def scores(docs: DataFrame, folds: int = 5, held: int = 1, tasks: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = prepared(docs.sparkSession)
     tasks = tasks or spark.sparkContext.defaultParallelism
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tokens = saved(docs.mapInArrow(_tokenise(folds, held), TOKENS), "tokens")
-    lists = tokens.where("words is not null")
-    counted = lists.select(F.inline(F.arrays_zip("words", "train"))).groupBy(F.col("words").alias("word")).agg(F.sum("train").alias("c"))
+    counted = tokens.select(F.inline(F.arrays_zip("words", "train"))).groupBy(F.col("words").alias("word")).agg(F.sum("train").alias("c"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     head = F.substring(F.col("word").cast("binary"), 1, PREFIX)
-    vocabulary = saved(counted.repartition(partitions, head).sortWithinPartitions("word"), "vocabulary")
+    vocabulary = _saved(counted.repartition(partitions, head).sortWithinPartitions("word"), "vocabulary")
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     model = spark.sparkContext.broadcast(train(vocabulary, tasks))
     scored = vocabulary.mapInArrow(_score(model), "word string, c long, score double, bytes long")
-    places = lists.select(F.col("block").alias("part"), F.posexplode("words").alias("place", "word")).join(scored, "word").select("part", "place", "c", F.col("score").cast("float").alias("score"), "bytes")
+    places = tokens.select(F.col("block").alias("part"), F.posexplode("words").alias("place", "word")).join(scored, "word").select("part", "place", "c", F.col("score").cast("float").alias("score"), "bytes")
     places = places.mapInArrow(_by_block, "part long, place binary, c binary, score binary, bytes binary")
-    documents = tokens.where("words is null").select(
-        "block", F.col("doc_id").cast("string").alias("doc_id"), "held_out", "n_tokens", "ids")
-    texts = saved(documents.groupBy("block").cogroup(places.groupBy("part")).applyInPandas(_documents(n, v), TEXTS), "texts")
+    grams = tokens.select("block", "held_out", "n_tokens", "ids", "words").mapInArrow(
+        _count_grams(max(partitions, 2 * n // DEALT)), "block long, deal long, keys binary, n binary")
+    totals = _saved(grams.groupBy("deal").applyInPandas(_sum_grams, "part long, deal long, total binary"), "grams")
+    found = places.unionByName(totals, allowMissingColumns=True)
+    documents = tokens.select("block", F.col("doc_id").cast("array<string>").alias("doc_id"), "held_out", "n_tokens", "ids", "words")
+    texts = _saved(documents.groupBy("block").cogroup(found.groupBy("part")).applyInPandas(_documents(n, v), TEXTS), "texts")
     return texts.mapInArrow(_score_texts(text_weights(texts, tasks), n), SCORES)

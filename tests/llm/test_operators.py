@@ -481,6 +481,49 @@ def test_lm_text_mixture_adds_up_to_one():
     assert context_mixing.mix_in_text(alone[ids], contexts, weight).sum() > before
 
 
+def test_lm_corpus_contexts_are_exact():
+    """Shares of one and two earlier tokens in other texts, with and without the own occurrence."""
+    lengths, ids = np.array([4, 4, 3]), np.array([0, 1, 2, 3, 0, 1, 4, 3, 1, 4, 3], np.uint32)
+    words = ["a", "b", "c", "\n", "d"]
+    keys, later = context_mixing._grams(words, lengths, ids)
+    n = collections.Counter(keys.tolist())
+    total = np.array([n[k] for k in keys.tolist()])
+    pairs, triples = total[:11], np.zeros(11, np.int64)
+    triples[later] = total[11:]
+    counts = np.bincount(ids)
+    one, two = context_mixing.corpus_contexts(lengths, ids, counts, pairs, triples)
+    assert dict(zip(one[0].tolist(), one[1].tolist())) == pytest.approx(
+        {0: 2 / 3, 1: 1, 2: 1 / 3, 3: 1, 4: 2 / 3, 5: 1, 6: 2 / 3, 7: 1, 8: 1 / 3, 9: 2 / 3, 10: 1})
+    assert dict(zip(two[0].tolist(), two[1].tolist())) == pytest.approx({1: 1, 2: 0.5, 3: 1, 5: 1, 6: 0.5, 7: 1, 9: 1, 10: 1})
+    one, two = context_mixing.corpus_contexts(lengths, ids, counts, pairs, triples, 1)
+    assert dict(zip(one[0].tolist(), one[1].tolist())) == pytest.approx(
+        {0: 0.5, 1: 1, 2: 0, 4: 0.5, 5: 1, 6: 0.5, 7: 1, 8: 0, 9: 0.5, 10: 1})
+    assert dict(zip(two[0].tolist(), two[1].tolist())) == pytest.approx({1: 1, 2: 0, 5: 1, 6: 0, 7: 1, 10: 1})
+
+
+def test_lm_learns_word_order_from_other_texts(spark):
+    """Held-out texts with the same tokens: those in the order of the training texts score higher."""
+    rng = np.random.default_rng(3)
+    words = [f"{a}{b}" for a in WORDS for b in WORDS[:8]]
+    after = {w: [words[k] for k in rng.integers(0, len(words), 2)] for w in words}
+    rows, shuffled = [], {}
+    for i in range(600):
+        text = [words[rng.integers(len(words))]]
+        while len(text) < 60:
+            text.append(after[text[-1]][rng.integers(2)])
+        rows.append((i, " ".join(text)))
+        if zlib.crc32(str(i).encode()) % 5 == 1:
+            while zlib.crc32(str(k := int(rng.integers(1000, 1 << 40))).encode()) % 5 != 1 or k in shuffled.values():
+                pass
+            shuffled[i] = k
+            rows.append((k, " ".join(rng.permutation(text))))
+    got = {r.doc_id: r for r in context_mixing.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(shuffled) > 50 and len(got) == len(rows)
+    better = sum(got[i].score > got[k].score + 5 for i, k in shuffled.items())
+    above = sum(got[i].score > got[i].base_score for i in shuffled)
+    assert better > 0.95 * len(shuffled) and above > 0.95 * len(shuffled)
+
+
 def labelled(spark):
     rows, labels = [], []
     for i in range(400):

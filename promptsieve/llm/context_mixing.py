@@ -28,9 +28,9 @@ scores stay log probabilities. The token before a text's first is the end of ano
    part of the stream, and the counts exclude the very occurrence that is predicted. The learned
    weights are averaged and the maps summed.
 5. Every token is scored, and the scores go back to the blocks. So do the training counts of all
-   pairs and triples of tokens: each block gives its different ones by a 64-bit hash with their
-   counts, dealt by the hash into parts of about DEALT; they are summed there, none is left out.
-   Blocks are written with scores and counts, a row each.
+   pairs and triples of tokens: each block gives its different ones by a hash, as wide as the
+   corpus asks for (``gram_bits``), with their counts, dealt by the hash into parts of about DEALT;
+   they are summed there, none is left out. Blocks are written with scores and counts, a row each.
 6. Tasks read these documents in parts of about TEXT_PART tokens and learn the weights of the
    contexts of tokens online from the training ones, whose counts exclude the very occurrence;
    they are averaged, and all are scored.
@@ -120,23 +120,17 @@ def _tokenise(folds: int, held: int):
         for batch in batches:
             doc_ids, texts = values_of(batch, "doc_id"), texts_of(batch)
             for low, high in blocks(texts, BLOCK):
-                number: dict[bytes, int] = {}
-                every, held_out, train = [], [], np.zeros(1 << 12, np.int64)
-                for i in range(low, high):
-                    words = texts[i].lower().split()
+                words, lengths = [], []
+                for text in texts[low:high]:
+                    own = text.lower().split()
+                    words += own
                     words.append(b"\n")
-                    own = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words))
-                    away = fold(doc_ids[i], folds) == held
-                    if not away:
-                        if len(number) > len(train):
-                            train = np.concatenate([train, np.zeros(len(number), np.int64)])
-                        np.add.at(train, own, 1)
-                    every.append(own)
-                    held_out.append(away)
-                if len(number) > len(train):
-                    train = np.concatenate([train, np.zeros(len(number), np.int64)])
-                row = (block, doc_ids[low:high], held_out, [len(x) for x in every], packed(np.concatenate(every)),
-                       [w.decode("utf-8", "replace") for w in number], train[: len(number)].tolist())
+                    lengths.append(len(own) + 1)
+                held_out = [fold(i, folds) == held for i in doc_ids[low:high]]
+                coded = pa.array(words, pa.large_binary()).dictionary_encode()
+                ids, number = coded.indices.to_numpy(zero_copy_only=False).astype(np.uint32), coded.dictionary.to_pylist()
+                train = np.bincount(ids[np.repeat(~np.array(held_out), lengths)], minlength=len(number))
+                row = (block, doc_ids[low:high], held_out, lengths, packed(ids), [w.decode("utf-8", "replace") for w in number], train.tolist())
                 yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row, schema)], schema=schema)
                 block += 1
     return run
@@ -400,34 +394,58 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(held)
 
 
-def _grams(words: list[str], lengths: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def distinct(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of unsigned ``keys`` below 2^bits, sorted, and the place of each key among
+    them. Keys and their places are sorted as one number where 64 bits hold both."""
+    n = len(keys)
+    low = max(1, n - 1).bit_length()
+    if bits + low > 64:
+        return np.unique(keys, return_inverse=True)
+    both = np.sort((keys << np.uint64(low)) | np.arange(n, dtype=np.uint64))
+    order = (both & np.uint64((1 << low) - 1)).astype(np.int64)
+    both >>= np.uint64(low)
+    new = np.append(True, both[1:] != both[:-1])[:n]
+    at = np.empty(n, np.int64)
+    at[order] = np.cumsum(new) - 1
+    return both[new], at
+
+
+def earlier(lengths: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The token before each one; before a text's first it is the end of another."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[np.cumsum(lengths) - lengths] = tokens[lengths[0] - 1]
+    return before
+
+
+def gram_bits(n: int) -> int:
+    """Bits of the hash of pairs and triples of a corpus of ``n`` tokens: about one in 4,096 shares
+    its hash with another, at any size."""
+    return min(64, max(32, (2 * n).bit_length() + 12))
+
+
+def _grams(words: list[str], lengths: np.ndarray, ids: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each token with the one before it, and with the two before it where it is not a
-    text's first; equal tokens have equal hashes in all blocks."""
+    text's first, in ``bits`` bits; equal tokens have equal hashes in all blocks."""
     key = pd.util.hash_array(np.array(words, object), categorize=False)[ids]
-    first = np.cumsum(lengths) - lengths
-    before = np.empty_like(key)
-    before[1:] = key[:-1]
-    before[first] = key[lengths[0] - 1]
-    pair = mixed(before * PAIR + key)
-    earlier = np.empty_like(pair)
-    earlier[1:] = pair[:-1]
+    pair = mixed(earlier(lengths, key) * PAIR + key)
     later = np.ones(len(ids), bool)
-    later[first] = False
-    return np.concatenate([pair, mixed(earlier[later] * TRIPLE + key[later])]), later
+    later[np.cumsum(lengths) - lengths] = False
+    return np.concatenate([pair, mixed(pair[np.flatnonzero(later) - 1] * TRIPLE + key[later])]) >> np.uint64(64 - bits), later
 
 
-def _count_grams(parts: int):
+def _count_grams(parts: int, bits: int):
     """A block's different pairs and triples, sorted, with their training counts, by part."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 lengths = np.array(row["n_tokens"])
-                keys, later = _grams(row["words"], lengths, unpacked(row["ids"]))
+                keys, later = _grams(row["words"], lengths, unpacked(row["ids"]), bits)
                 known = np.repeat(~np.array(row["held_out"]), lengths)
-                keys, at = np.unique(keys, return_inverse=True)
+                keys, at = distinct(keys, bits)
                 n = np.bincount(at, np.concatenate([known, known[later]]), len(keys))
-                part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                part = ((keys >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
                 start = np.flatnonzero(np.diff(part, prepend=-1))
                 cut = start[1:]
                 yield pa.RecordBatch.from_arrays([
@@ -440,13 +458,14 @@ def _count_grams(parts: int):
 def _sum_grams(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """For each block its pairs' and triples' counts in all blocks, in its order."""
     keys = [np.cumsum(unpressed(k).view(np.uint64)) for k in rows["keys"]]
-    _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    keys = [k - min(x[0] for x in keys) for k in keys]
+    _, at = distinct(np.concatenate(keys), int(max(k[-1] for k in keys)).bit_length())
     total = np.bincount(at, np.concatenate([unpressed(n) for n in rows["n"]]))[at]
     cut = np.cumsum([len(k) for k in keys])[:-1]
     return pd.DataFrame({"part": rows["block"], "deal": key[0], "total": [pressed(x) for x in np.split(total, cut)]})
 
 
-def _documents(n: int, v: int):
+def _documents(n: int, v: int, bits: int):
     """Documents of a block as one row, with the log10 probability and the count of each word alone
     and, for each token, the counts of its pair and its triple."""
     denominator = n + 0.5 * (v + 1)
@@ -459,14 +478,16 @@ def _documents(n: int, v: int):
         base = np.log10((c + 0.5) / denominator)
         doc = docs.iloc[0]
         lengths, ids = np.array(doc["n_tokens"]), unpacked(doc["ids"])
-        keys, later = _grams(doc["words"], lengths, ids)
-        total = np.concatenate([unpressed(x) for x in grams["total"]])[np.unique(keys, return_inverse=True)[1]]
-        triples = np.zeros(len(ids), np.int64)
-        triples[later] = total[len(ids):]
+        keys, later = _grams(doc["words"], lengths, ids, bits)
+        total = np.concatenate([unpressed(x) for x in grams["total"]])[distinct(keys, bits)[1]]
+        # No pair is more frequent than its tokens, no triple than its pairs, whatever shares a hash.
+        pairs, triples = np.minimum(total[: len(ids)], c[ids]), np.zeros(len(ids), np.int64)
+        pairs = np.minimum(pairs, c[earlier(lengths, ids)])
+        triples[later] = np.minimum(np.minimum(total[len(ids):], pairs[later]), pairs[np.flatnonzero(later) - 1])
         # Ids come as text: pandas would turn a column with NULLs into floats.
         plain = [[None if x is None else int(x) for x in doc["doc_id"]], list(doc["held_out"]), lengths.tolist()]
         sums = [np.add.reduceat(x[ids], np.cumsum(lengths) - lengths).tolist() for x in ((c > 0).astype(np.int64), base, size.astype(np.int64))]
-        return pd.DataFrame([[*plain, *sums, doc["ids"], packed(score, "<f4"), pressed(c), pressed(total[: len(ids)]), pressed(triples)]],
+        return pd.DataFrame([[*plain, *sums, doc["ids"], packed(score, "<f4"), pressed(c), pressed(pairs), pressed(triples)]],
                             columns=[x.split()[0] for x in TEXTS.split(", ")])
     return run
 
@@ -476,10 +497,7 @@ def corpus_contexts(lengths: np.ndarray, ids: np.ndarray, counts: np.ndarray, pa
     """For one and two earlier tokens, the places whose context is in the training texts, the share of
     their token among what followed it there, and their gate. ``own`` occurrences are left out."""
     first = np.cumsum(lengths) - lengths
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[first] = ids[lengths[0] - 1]
-    once, twice = counts[before] - own, np.empty_like(pairs)
+    once, twice = counts[earlier(lengths, ids)] - own, np.empty_like(pairs)
     twice[1:] = pairs[:-1] - own
     twice[first] = 0
     one, two = np.flatnonzero(once > 0), np.flatnonzero(twice > 0)
@@ -651,14 +669,15 @@ def scores(docs: DataFrame, folds: int = 5, held: int = 1, tasks: int | None = N
     head = F.substring(F.col("word").cast("binary"), 1, PREFIX)
     vocabulary = _saved(counted.repartition(partitions, head).sortWithinPartitions("word"), "vocabulary")
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    bits = gram_bits(n)
     model = spark.sparkContext.broadcast(train(vocabulary, tasks))
     scored = vocabulary.mapInArrow(_score(model), "word string, c long, score double, bytes long")
     places = tokens.select(F.col("block").alias("part"), F.posexplode("words").alias("place", "word")).join(scored, "word").select("part", "place", "c", F.col("score").cast("float").alias("score"), "bytes")
     places = places.mapInArrow(_by_block, "part long, place binary, c binary, score binary, bytes binary")
     grams = tokens.select("block", "held_out", "n_tokens", "ids", "words").mapInArrow(
-        _count_grams(max(partitions, 2 * n // DEALT)), "block long, deal long, keys binary, n binary")
+        _count_grams(max(partitions, 2 * n // DEALT), bits), "block long, deal long, keys binary, n binary")
     totals = _saved(grams.groupBy("deal").applyInPandas(_sum_grams, "part long, deal long, total binary"), "grams")
     found = places.unionByName(totals, allowMissingColumns=True)
     documents = tokens.select("block", F.col("doc_id").cast("array<string>").alias("doc_id"), "held_out", "n_tokens", "ids", "words")
-    texts = _saved(documents.groupBy("block").cogroup(found.groupBy("part")).applyInPandas(_documents(n, v), TEXTS), "texts")
+    texts = _saved(documents.groupBy("block").cogroup(found.groupBy("part")).applyInPandas(_documents(n, v, bits), TEXTS), "texts")
     return texts.mapInArrow(_score_texts(text_weights(texts, tasks), n), SCORES)

@@ -120,15 +120,20 @@ def _tokenise(folds: int, held: int):
         for batch in batches:
             doc_ids, texts = values_of(batch, "doc_id"), texts_of(batch)
             for low, high in blocks(texts, BLOCK):
-                words, lengths = [], []
-                for text in texts[low:high]:
-                    own = text.lower().split()
-                    words += own
-                    words.append(b"\n")
-                    lengths.append(len(own) + 1)
-                held_out = [fold(i, folds) == held for i in doc_ids[low:high]]
-                coded = pa.array(words, pa.large_binary()).dictionary_encode()
-                ids, number = coded.indices.to_numpy(zero_copy_only=False).astype(np.uint32), coded.dictionary.to_pylist()
+                number: dict[bytes, int] = {}
+                every, lengths = [], []
+                for first, last in blocks(texts[low:high]):
+                    words = []
+                    for text in texts[low + first: low + last]:
+                        before = len(words)
+                        words += text.lower().split()
+                        words.append(b"\n")
+                        lengths.append(len(words) - before)
+                    coded = pa.array(words, pa.large_binary()).dictionary_encode()
+                    known = coded.dictionary.to_pylist()
+                    own = np.fromiter((number.setdefault(w, len(number)) for w in known), np.uint32, len(known))
+                    every.append(own[coded.indices.to_numpy(zero_copy_only=False)])
+                ids, held_out = np.concatenate(every), [fold(i, folds) == held for i in doc_ids[low:high]]
                 train = np.bincount(ids[np.repeat(~np.array(held_out), lengths)], minlength=len(number))
                 row = (block, doc_ids[low:high], held_out, lengths, packed(ids), [w.decode("utf-8", "replace") for w in number], train.tolist())
                 yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row, schema)], schema=schema)

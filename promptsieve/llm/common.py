@@ -74,7 +74,8 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 @lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, modulo 2^64, up to ``n``."""
     up, down = np.full(n + 1, BASE), np.full(n + 1, INVERSE)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
@@ -101,7 +102,7 @@ class Words:
         self.first = np.cumsum([0, *(len(t) + 1 for t in texts)])
         self.doc = np.searchsorted(self.first, self.start, "right") - 1
         size = 1 << max(20, len(buf).bit_length())
-        up, self._down = _powers(size)
+        up, self._down = powers(size)
         self._sum = np.empty(len(buf) + 1, np.uint64)
         self._sum[0] = 0
         np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=self._sum[1:])

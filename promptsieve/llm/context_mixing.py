@@ -51,11 +51,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptsieve.llm.common import blocks, fold, mixed, prepared, saved, texts_of, values_of
+from promptsieve.llm.common import blocks, fold, mixed, powers, prepared, saved, texts_of, values_of
 
 BLOCK = 8 << 20
 #: Bytes of the predictors' contexts, and slots of their tables as powers of two.
@@ -83,8 +84,8 @@ TIMES = (2, 3, 4, 6, 10, 20, 40, 80, 160, 320, 640, 1280)
 FOLLOWERS = (0.1, 0.25, 0.45, 0.65, 0.8, 0.9, 0.99)
 TEXT_GATES = (len(TIMES) + 1) * (len(FOLLOWERS) + 1)
 TEXT_PART = 1 << 16
-#: Scored words that a task packs together, and the forms of their columns.
-PLACES, FORMS = 1 << 20, {"place": "<u4", "c": "<i8", "score": "<f4", "bytes": "<u4"}
+#: Scored words that a task packs together, and their columns.
+PLACES, FORMS = 1 << 20, ("place", "c", "score", "bytes")
 TEXTS = ("doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_known array<long>, base_score array<double>, "
          "bytes array<long>, ids binary, alone binary, counts binary, pairs binary, triples binary")
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
@@ -101,13 +102,22 @@ def unpacked(raw: bytes, form: str = "<u4") -> np.ndarray:
 
 
 def pressed(values: np.ndarray) -> bytes:
-    """Large columns of counts and hashes, small already in the JVM's rows."""
-    raw = packed(values, "<u8")
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    """Whole numbers, compressed by byte planes; as many planes as the largest one needs."""
+    planes = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    raw = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
+    return bytes([planes]) + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def unpressed(raw: bytes) -> np.ndarray:
-    return unpacked(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True), "<i8")
+    planes, size = raw[0], int.from_bytes(raw[1:9], "little")
+    data = np.frombuffer(pa.decompress(raw[9:], size, "zstd", asbytes=True), np.uint8).reshape(planes, -1)
+    values = np.zeros((data.shape[1], 8), np.uint8)
+    values[:, :planes] = data.T
+    return values.view("<i8").ravel()
+
+
+def _bits_of(scores: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(scores, "<f4").view("<u4")
 
 
 def _tokenise(folds: int, held: int):
@@ -119,23 +129,32 @@ def _tokenise(folds: int, held: int):
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             doc_ids, texts = values_of(batch, "doc_id"), texts_of(batch)
+            column = batch.column(batch.schema.get_field_index("text"))
             for low, high in blocks(texts, BLOCK):
-                number: dict[bytes, int] = {}
+                number: dict[str, int] = {}
                 every, lengths = [], []
                 for first, last in blocks(texts[low:high]):
-                    words = []
-                    for text in texts[low + first: low + last]:
-                        before = len(words)
-                        words += text.lower().split()
-                        words.append(b"\n")
-                        lengths.append(len(words) - before)
-                    coded = pa.array(words, pa.large_binary()).dictionary_encode()
+                    part = column.slice(low + first, last - first)
+                    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part, "")))
+                    words = split.flatten()
+                    # A text that begins or ends with a blank has an empty word there.
+                    real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+                    owner = np.repeat(np.arange(last - first), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+                    n = np.bincount(owner[real], minlength=last - first)
+                    coded = words.filter(pa.array(real)).dictionary_encode()
                     known = coded.dictionary.to_pylist()
                     own = np.fromiter((number.setdefault(w, len(number)) for w in known), np.uint32, len(known))
-                    every.append(own[coded.indices.to_numpy(zero_copy_only=False)])
+                    ends = np.cumsum(n + 1) - 1
+                    ids = np.empty(int(n.sum()) + len(n), np.uint32)
+                    inner = np.ones(len(ids), bool)
+                    inner[ends] = False
+                    ids[ends] = number.setdefault("\n", len(number))
+                    ids[inner] = own[coded.indices.to_numpy(zero_copy_only=False)]
+                    every.append(ids)
+                    lengths += (n + 1).tolist()
                 ids, held_out = np.concatenate(every), [fold(i, folds) == held for i in doc_ids[low:high]]
                 train = np.bincount(ids[np.repeat(~np.array(held_out), lengths)], minlength=len(number))
-                row = (block, doc_ids[low:high], held_out, lengths, packed(ids), [w.decode("utf-8", "replace") for w in number], train.tolist())
+                row = (block, doc_ids[low:high], held_out, lengths, pressed(ids), list(number), train.tolist())
                 yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row, schema)], schema=schema)
                 block += 1
     return run
@@ -163,12 +182,27 @@ class Events:
             context = context * np.uint64(257) + shifted
             if k in BYTES:
                 self.context.append(mixed(context + np.uint64(k << 60)))
-        self._beginnings(counts)
-
-    def _beginnings(self, counts: np.ndarray) -> None:
+        self._share(self._beginnings(counts))
+
+    def _share(self, common: np.ndarray) -> None:
+        """Bytes of a beginning that the token before has too are the same events: they are worked
+        on once, at the first token (``kept``), with the sum of the weights (``mass``)."""
+        shared = np.append(0, common // 8)
+        owner, alive = np.arange(len(self.byte)), np.arange(len(self.length))
+        for k in range(int(shared.max(initial=0))):
+            alive = alive[self.length[alive] > k]
+            at = self.first[alive] + k
+            owner[at] = at[np.maximum.accumulate(np.where(shared[alive] <= k, np.arange(len(at)), 0))]
+        first = owner == np.arange(len(owner))
+        self.kept = np.flatnonzero(first)
+        self.owner = (np.cumsum(first) - 1)[owner]
+        self.mass = np.bincount(self.owner, self.weight, len(self.kept))
+
+    def _beginnings(self, counts: np.ndarray) -> np.ndarray:
         """``alike`` and ``same``, by bit and byte: training occurrences of tokens that begin
         alike up to this bit, and those among them that go on with the same bit. A beginning
-        that only one token has is that token's count; shorter ones than PREFIX are left out."""
+        that only one token has is that token's count; shorter ones than PREFIX are left out. Gives
+        the number of bits that each token has in common with the next."""
         n, byte, first, length = len(self.length), self.byte, self.first, self.length
         common = np.zeros(max(0, n - 1), np.int64)
         pair, k = np.arange(n - 1), 0
@@ -202,23 +236,25 @@ class Events:
                 self.alike[b, at] = total
                 self.same[b, at] = np.where((value >> (7 - b)) & 1, ones, total - ones)
             k += 1
+        return common
 
     def bits(self):
-        """For each bit of the bytes, from the highest: (node, bit, slots of the tables, counts
+        """For each bit of the kept bytes, from the highest: (node, bit, slots of the tables, counts
         of 0 and 1 after the same beginning)."""
-        node = np.ones(len(self.byte), np.int64)
+        node, byte, context = np.ones(len(self.kept), np.int64), self.byte[self.kept], [c[self.kept] for c in self.context]
         for b in range(8):
-            bit = (self.byte >> (7 - b)) & 1
+            bit = (byte >> (7 - b)) & 1
             slots = []
             turned = node.astype(np.uint64) * NODE
             for k, size in enumerate(SLOTS):
-                slots.append(((self.context[k] + turned) >> np.uint64(64 - size)).view(np.int64))
-            other = self.alike[b] - self.same[b]
-            yield b, node, bit, slots, np.where(bit == 1, other, self.same[b]), np.where(bit == 1, self.same[b], other)
+                slots.append(((context[k] + turned) >> np.uint64(64 - size)).view(np.int64))
+            same = self.same[b, self.kept]
+            other = self.alike[b, self.kept] - same
+            yield b, node, bit, slots, np.where(bit == 1, other, same), np.where(bit == 1, same, other)
             node = 2 * node + bit
 
     def gate(self, b: int, seen: np.ndarray) -> np.ndarray:
-        return np.searchsorted(LEVELS, seen, "right") * 64 + self.depth * 8 + b
+        return np.searchsorted(LEVELS, seen, "right") * 64 + self.depth[self.kept] * 8 + b
 
 
 @dataclass
@@ -238,7 +274,7 @@ class Model:
         """log10 probability of each token."""
         e = Events(tokens, counts)
         columns = np.ascontiguousarray(self.weight.T)
-        total = np.zeros(len(e.byte))
+        total = np.zeros(len(e.kept))
         for b, node, bit, slots, n0, n1 in e.bits():
             gate = e.gate(b, n0 + n1)
             z = columns[-1][gate] + columns[len(SLOTS)][gate] * np.log((n1 + np.float32(PRIOR)) / (n0 + np.float32(PRIOR)))
@@ -246,7 +282,7 @@ class Model:
                 z += columns[k][gate] * self.odds[k][s]
             p = np.clip(self.refine(node, np.clip(z, -12, 12)), 1e-6, 1 - 1e-6)
             total += np.log10(np.where(bit == 1, p, 1 - p))
-        return np.bincount(e.token, total, minlength=len(tokens))
+        return np.bincount(e.token, total[e.owner], minlength=len(tokens))
 
 
 def step_of(z: np.ndarray) -> np.ndarray:
@@ -276,7 +312,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Events(words, counts)
         for _, _, bit, slots, _, _ in e.bits():
             for k, s in enumerate(slots):
-                np.add.at(both[k], s * 2 + bit, e.weight)
+                np.add.at(both[k], s * 2 + bit, e.mass)
     zeros, ones = [x[::2] for x in both], [x[1::2] for x in both]
     rows = []
     for k, size in enumerate(SLOTS):
@@ -334,15 +370,15 @@ def _learn(tables):
                 for k in range(inputs):
                     z += x[k] * columns[k][gate]
                 z = np.clip(z, -12, 12)
-                error = e.weight * (bit - 1 / (1 + np.exp(-z)))
-                total = np.bincount(gate, e.weight, minlength=GATES)
+                error = e.mass * (bit - 1 / (1 + np.exp(-z)))
+                total = np.bincount(gate, e.mass, minlength=GATES)
                 used = total > 0
                 for k in range(inputs):
                     g = np.bincount(gate, error * x[k], minlength=GATES)[used] / total[used]
                     pace[used, k] += g * g
                     weight[used, k] += RATE * g / np.sqrt(pace[used, k])
                 mass += total
-                seen += np.bincount((node * STEPS + step_of(z)) * 2 + bit, e.weight, minlength=256 * STEPS * 2).reshape(seen.shape)
+                seen += np.bincount((node * STEPS + step_of(z)) * 2 + bit, e.mass, minlength=256 * STEPS * 2).reshape(seen.shape)
         if mass.any():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x.tobytes()], pa.binary()) for x in (mass, weight, seen)], names=["mass", "weight", "seen"])
@@ -381,10 +417,12 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     PLACES words at a time."""
     def rows(held):
         part, *columns = (np.concatenate([np.asarray(b.column(b.schema.get_field_index(c))) for b in held]) for c in ("part", *FORMS))
-        order = np.argsort(part, kind="stable")
+        order = np.lexsort((columns[0], part))
         part = part[order]
         start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        packs = [[packed(x, f) for x in np.split(c[order], start[1:])] for c, f in zip(columns, FORMS.values())]
+        columns[2] = _bits_of(columns[2])
+        packs = [[pressed(x) for x in np.split(c[order], start[1:])] for c in columns]
+        packs[0] = [pressed(np.diff(x, prepend=0)) for x in np.split(columns[0][order], start[1:])]
         return pa.RecordBatch.from_arrays([pa.array(part[start]), *(pa.array(x, pa.binary()) for x in packs)], names=["part", *FORMS])
 
     held, size = [], 0
@@ -429,10 +467,23 @@ def gram_bits(n: int) -> int:
     return min(64, max(32, (2 * n).bit_length() + 12))
 
 
-def _grams(words: list[str], lengths: np.ndarray, ids: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def _word_keys(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words."""
+    words = words.cast(pa.large_binary())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset: words.offset + len(words) + 1]
+    low = int(offsets[0])
+    size = int(offsets[-1]) - low
+    buf = np.frombuffer(words.buffers()[2] or b"", np.uint8)[low: low + size]
+    up, down = powers(1 << max(20, size.bit_length()))
+    sums = np.zeros(size + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
+    return mixed((sums[offsets[1:] - low] - sums[offsets[:-1] - low]) * down[offsets[:-1] - low])
+
+
+def _grams(words, lengths: np.ndarray, ids: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each token with the one before it, and with the two before it where it is not a
     text's first, in ``bits`` bits; equal tokens have equal hashes in all blocks."""
-    key = pd.util.hash_array(np.array(words, object), categorize=False)[ids]
+    key = _word_keys(words if isinstance(words, pa.Array) else pa.array(words, pa.large_string()))[ids]
     pair = mixed(earlier(lengths, key) * PAIR + key)
     later = np.ones(len(ids), bool)
     later[np.cumsum(lengths) - lengths] = False
@@ -444,9 +495,10 @@ def _count_grams(parts: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                lengths = np.array(row["n_tokens"])
-                keys, later = _grams(row["words"], lengths, unpacked(row["ids"]), bits)
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                lengths = np.array(row["n_tokens"].as_py())
+                keys, later = _grams(row["words"].values, lengths, unpressed(row["ids"].as_py()), bits)
+                row |= {"block": row["block"].as_py(), "held_out": row["held_out"].as_py()}
                 known = np.repeat(~np.array(row["held_out"]), lengths)
                 keys, at = distinct(keys, bits)
                 n = np.bincount(at, np.concatenate([known, known[later]]), len(keys))
@@ -470,6 +522,17 @@ def _sum_grams(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": rows["block"], "deal": key[0], "total": [pressed(x) for x in np.split(total, cut)]})
 
 
+def _pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of a block as one compressed value: few bytes to shuffle. The end is the empty line."""
+    for batch in batches:
+        packs = []
+        for i in range(batch.num_rows):
+            text = "\n".join("" if w == "\n" else w for w in batch.column("words")[i].values.to_pylist()).encode()
+            packs.append(len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True))
+        at = batch.schema.get_field_index("words")
+        yield batch.set_column(at, "words", pa.array(packs, pa.binary()))
+
+
 def _documents(n: int, v: int, bits: int):
     """Documents of a block as one row, with the log10 probability and the count of each word alone
     and, for each token, the counts of its pair and its triple."""
@@ -477,13 +540,16 @@ def _documents(n: int, v: int, bits: int):
 
     def run(key: tuple, docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         words, grams = found[found["total"].isna()], found[found["total"].notna()].sort_values("deal")
-        place, c, score, size = (np.concatenate([unpacked(x, f) for x in words[name]]) for name, f in FORMS.items())
+        place, c, score, size = (np.concatenate([unpressed(x) for x in words[name]]) for name in FORMS)
+        place = np.concatenate([np.cumsum(unpressed(x)) for x in words["place"]])
+        score = score.astype("<u4").view("<f4")
         order = np.argsort(place)
         c, score, size = c[order], score[order], size[order]
         base = np.log10((c + 0.5) / denominator)
         doc = docs.iloc[0]
-        lengths, ids = np.array(doc["n_tokens"]), unpacked(doc["ids"])
-        keys, later = _grams(doc["words"], lengths, ids, bits)
+        lengths, ids = np.array(doc["n_tokens"]), unpressed(doc["ids"])
+        known = pa.decompress(doc["words"][8:], int.from_bytes(doc["words"][:8], "little"), "zstd", asbytes=True).decode().split("\n")
+        keys, later = _grams([w or "\n" for w in known], lengths, ids, bits)
         total = np.concatenate([unpressed(x) for x in grams["total"]])[distinct(keys, bits)[1]]
         # No pair is more frequent than its tokens, no triple than its pairs, whatever shares a hash.
         pairs, triples = np.minimum(total[: len(ids)], c[ids]), np.zeros(len(ids), np.int64)
@@ -492,7 +558,7 @@ def _documents(n: int, v: int, bits: int):
         # Ids come as text: pandas would turn a column with NULLs into floats.
         plain = [[None if x is None else int(x) for x in doc["doc_id"]], list(doc["held_out"]), lengths.tolist()]
         sums = [np.add.reduceat(x[ids], np.cumsum(lengths) - lengths).tolist() for x in ((c > 0).astype(np.int64), base, size.astype(np.int64))]
-        return pd.DataFrame([[*plain, *sums, doc["ids"], packed(score, "<f4"), pressed(c), pressed(pairs), pressed(triples)]],
+        return pd.DataFrame([[*plain, *sums, doc["ids"], pressed(_bits_of(score)), pressed(c), pressed(pairs), pressed(triples)]],
                             columns=[x.split()[0] for x in TEXTS.split(", ")])
     return run
 
@@ -594,9 +660,9 @@ def _blocks_of(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
-            tokens = (unpacked(row["ids"]), unpressed(row["pairs"]), unpressed(row["triples"]))
-            yield (row, np.array(row["n_tokens"]), tokens, unpacked(row["alone"], "<f4").astype(np.float64) * np.log(10),
-                   unpressed(row["counts"]))
+            tokens = (unpressed(row["ids"]).astype(np.uint32), unpressed(row["pairs"]), unpressed(row["triples"]))
+            alone = unpressed(row["alone"]).astype("<u4").view("<f4").astype(np.float64) * np.log(10)
+            yield row, np.array(row["n_tokens"]), tokens, alone, unpressed(row["counts"])
 
 
 def _text_parts(lengths: np.ndarray, tokens: tuple, alone: np.ndarray, counts: np.ndarray, own: int = 0):
@@ -678,11 +744,12 @@ def scores(docs: DataFrame, folds: int = 5, held: int = 1, tasks: int | None = N
     model = spark.sparkContext.broadcast(train(vocabulary, tasks))
     scored = vocabulary.mapInArrow(_score(model), "word string, c long, score double, bytes long")
     places = tokens.select(F.col("block").alias("part"), F.posexplode("words").alias("place", "word")).join(scored, "word").select("part", "place", "c", F.col("score").cast("float").alias("score"), "bytes")
-    places = places.mapInArrow(_by_block, "part long, place binary, c binary, score binary, bytes binary")
+    places = _saved(places.mapInArrow(_by_block, "part long, place binary, c binary, score binary, bytes binary"), "places")
     grams = tokens.select("block", "held_out", "n_tokens", "ids", "words").mapInArrow(
         _count_grams(max(partitions, 2 * n // DEALT), bits), "block long, deal long, keys binary, n binary")
     totals = _saved(grams.groupBy("deal").applyInPandas(_sum_grams, "part long, deal long, total binary"), "grams")
     found = places.unionByName(totals, allowMissingColumns=True)
-    documents = tokens.select("block", F.col("doc_id").cast("array<string>").alias("doc_id"), "held_out", "n_tokens", "ids", "words")
+    documents = tokens.select("block", F.col("doc_id").cast("array<string>").alias("doc_id"), "held_out", "n_tokens", "ids", "words").mapInArrow(
+        _pack_words, "block long, doc_id array<string>, held_out array<boolean>, n_tokens array<long>, ids binary, words binary")
     texts = _saved(documents.groupBy("block").cogroup(found.groupBy("part")).applyInPandas(_documents(n, v, bits), TEXTS), "texts")
     return texts.mapInArrow(_score_texts(text_weights(texts, tasks), n), SCORES)

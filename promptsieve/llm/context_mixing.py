@@ -81,9 +81,12 @@ CORPUS_START, DEALT = (0.0, 0.0), 1 << 20
 PAIR, TRIPLE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Levels of a context's count and of its followers, and the gates of an order.
 TIMES = (2, 3, 4, 6, 10, 20, 40, 80, 160, 320, 640, 1280)
+LEVEL_OF = np.searchsorted(TIMES, np.arange(TIMES[-1] + 1), "right")
 FOLLOWERS = (0.1, 0.25, 0.45, 0.65, 0.8, 0.9, 0.99)
 TEXT_GATES = (len(TIMES) + 1) * (len(FOLLOWERS) + 1)
 TEXT_PART = 1 << 16
+#: Log probability of a token below which it is kept apart, as numbers end there.
+LEAST_LOG = -600.0
 #: Scored words that a task packs together, and their columns.
 PLACES, FORMS = 1 << 20, ("place", "c", "score", "bytes")
 TEXTS = ("doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_known array<long>, base_score array<double>, "
@@ -131,31 +134,24 @@ def _tokenise(folds: int, held: int):
             doc_ids, texts = values_of(batch, "doc_id"), texts_of(batch)
             column = batch.column(batch.schema.get_field_index("text"))
             for low, high in blocks(texts, BLOCK):
-                number: dict[str, int] = {}
-                every, lengths = [], []
-                for first, last in blocks(texts[low:high]):
-                    part = column.slice(low + first, last - first)
-                    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part, "")))
-                    words = split.flatten()
-                    # A text that begins or ends with a blank has an empty word there.
-                    real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
-                    owner = np.repeat(np.arange(last - first), pc.list_value_length(split).to_numpy(zero_copy_only=False))
-                    n = np.bincount(owner[real], minlength=last - first)
-                    coded = words.filter(pa.array(real)).dictionary_encode()
-                    known = coded.dictionary.to_pylist()
-                    own = np.fromiter((number.setdefault(w, len(number)) for w in known), np.uint32, len(known))
-                    ends = np.cumsum(n + 1) - 1
-                    ids = np.empty(int(n.sum()) + len(n), np.uint32)
-                    inner = np.ones(len(ids), bool)
-                    inner[ends] = False
-                    ids[ends] = number.setdefault("\n", len(number))
-                    ids[inner] = own[coded.indices.to_numpy(zero_copy_only=False)]
-                    every.append(ids)
-                    lengths += (n + 1).tolist()
-                ids, held_out = np.concatenate(every), [fold(i, folds) == held for i in doc_ids[low:high]]
-                train = np.bincount(ids[np.repeat(~np.array(held_out), lengths)], minlength=len(number))
-                row = (block, doc_ids[low:high], held_out, lengths, pressed(ids), list(number), train.tolist())
-                yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row, schema)], schema=schema)
+                split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.slice(low, high - low), "")))
+                words = split.flatten()
+                # A text that begins or ends with a blank has an empty word there.
+                real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+                owner = np.repeat(np.arange(high - low), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+                lengths = np.bincount(owner[real], minlength=high - low) + 1
+                coded = words.filter(pa.array(real)).dictionary_encode()
+                number = len(coded.dictionary)
+                ids, inner = np.full(int(lengths.sum()), number, np.uint32), np.ones(int(lengths.sum()), bool)
+                inner[np.cumsum(lengths) - 1] = False
+                ids[inner] = coded.indices.to_numpy(zero_copy_only=False)
+                held_out = [fold(i, folds) == held for i in doc_ids[low:high]]
+                train = np.bincount(ids[np.repeat(~np.array(held_out), lengths)], minlength=number + 1)
+                words = pa.concat_arrays([coded.dictionary, pa.array(["\n"], coded.dictionary.type)])
+                row = (block, doc_ids[low:high], held_out, lengths, pressed(ids), words, train)
+                yield pa.RecordBatch.from_arrays([
+                    pa.ListArray.from_arrays([0, len(c)], pa.array(c).cast(f.type.value_type)) if isinstance(c, (np.ndarray, pa.Array))
+                    else pa.array([c], f.type) for c, f in zip(row, schema)], schema=schema)
                 block += 1
     return run
 
@@ -350,7 +346,8 @@ def count_tables(vocabulary: DataFrame, tasks: int) -> list[np.ndarray]:
 
 def _learn(tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts_of = tables.value
+        # Both counts of a slot lie side by side, as the parts of a complex number.
+        counts_of = [np.ascontiguousarray(t.T).view(np.complex64).ravel() for t in tables.value]
         inputs = len(SLOTS) + 2
         weight, pace = np.zeros((GATES, inputs)), np.full((GATES, inputs), 1e-4)
         weight[:] = START
@@ -359,7 +356,8 @@ def _learn(tables):
             e = Events(words, counts)
             for b, node, bit, slots, n0, n1 in e.bits():
                 zero, one = (bit == 0).astype(np.float32), bit.astype(np.float32)
-                pairs = [(counts_of[k][0][s], counts_of[k][1][s]) for k, s in enumerate(slots)] + [(n0, n1)]
+                found = [counts_of[k][s] for k, s in enumerate(slots)]
+                pairs = [(c.real, c.imag) for c in found] + [(n0, n1)]
                 x = np.ones((inputs, len(node)), np.float32)
                 less = np.float32(PRIOR)
                 for k, (a, c) in enumerate(pairs):
@@ -616,7 +614,7 @@ def own_contexts(lengths: np.ndarray, ids: np.ndarray) -> list[tuple[np.ndarray,
         followers[by_context] = count - count[begin]
         at = np.flatnonzero(seen)
         times = seen[at]
-        gate = np.searchsorted(TIMES, times, "right") * (len(FOLLOWERS) + 1) + np.searchsorted(FOLLOWERS, (followers[at] - 0.5) / times)
+        gate = LEVEL_OF[np.minimum(times, TIMES[-1])] * (len(FOLLOWERS) + 1) + np.searchsorted(FOLLOWERS, (followers[at] - 0.5) / times)
         result.append((at, same[at] / times, gate))
         by_context = order[~last[order]] + 1
         group, earlier = np.empty(n, np.int64), np.zeros(n, np.int64)
@@ -630,22 +628,24 @@ def mix_in_text(alone: np.ndarray, contexts: list, weight: np.ndarray, learn: bo
     """Natural log probabilities of tokens in their text. If ``learn``, ``weight`` (orders, gates, 2:
     weight, tokens) moves by the error, as for a bit: the share of the context in the mixture less
     the one that the weight gives it, by its slope. Steps shrink as a gate has seen more tokens."""
-    p = alone.copy()
+    floor = np.maximum(alone, LEAST_LOG)
+    p = np.exp(floor)
     for k, (at, share, gate) in enumerate(contexts):
-        w = weight[k, gate, 0]
-        with np.errstate(divide="ignore"):
-            own = np.log(share) - np.log1p(np.exp(-w))
-        both = np.logaddexp(own, p[at] - np.log1p(np.exp(w)))
+        part = 1 / (1 + np.exp(-weight[k, :, 0]))
+        own = part[gate]
+        before = p[at]
+        share = own * share
+        both = share + (1 - own) * before
         p[at] = both
         if learn:
             total = np.bincount(gate, minlength=TEXT_GATES)
             used = total > 0
-            part = 1 / (1 + np.exp(-weight[k, used, 0]))
-            error = np.bincount(gate, np.exp(own - both), TEXT_GATES)[used] / total[used] - part
+            error = np.bincount(gate, share / both, TEXT_GATES)[used] / total[used] - part[used]
             weight[k, :, 1] += total
-            step = error / (part * (1 - part)) * np.sqrt(total[used] / weight[k, used, 1])
+            step = error / (part[used] * (1 - part[used])) * np.sqrt(total[used] / weight[k, used, 1])
             weight[k, used, 0] = np.clip(weight[k, used, 0] + np.clip(step, -1, 1), -8, 8)
-    return p
+    # Below LEAST_LOG a token's own probability counts only where no context has seen it.
+    return np.log(p) + np.where(p > 2 * np.exp(LEAST_LOG), 0, alone - floor)
 
 
 def first_weights(start: tuple = TEXT_START) -> np.ndarray:
@@ -743,7 +743,7 @@ def scores(docs: DataFrame, folds: int = 5, held: int = 1, tasks: int | None = N
     bits = gram_bits(n)
     model = spark.sparkContext.broadcast(train(vocabulary, tasks))
     scored = vocabulary.mapInArrow(_score(model), "word string, c long, score double, bytes long")
-    places = tokens.select(F.col("block").alias("part"), F.posexplode("words").alias("place", "word")).join(scored, "word").select("part", "place", "c", F.col("score").cast("float").alias("score"), "bytes")
+    places = tokens.select(F.col("block").alias("part"), F.posexplode("words").alias("place", "word")).join(scored.hint("shuffle_hash"), "word").select("part", "place", "c", F.col("score").cast("float").alias("score"), "bytes")
     places = _saved(places.mapInArrow(_by_block, "part long, place binary, c binary, score binary, bytes binary"), "places")
     grams = tokens.select("block", "held_out", "n_tokens", "ids", "words").mapInArrow(
         _count_grams(max(partitions, 2 * n // DEALT), bits), "block long, deal long, keys binary, n binary")

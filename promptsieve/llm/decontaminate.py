@@ -187,9 +187,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     dirty = contamination(docs, benchmark).where("contaminated").select("key").distinct()
-    row = F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.lit("|"), F.coalesce("text", F.lit("")))
-    tagged = docs.withColumn("key", F.unhex(F.substring(F.sha2(row, 256), 1, 32)))
-    return tagged.join(dirty, "key", "left_anti").select(docs.columns)
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    name = F.concat(F.coalesce(F.col("row.doc_id").cast("long").cast("string"), F.lit("-")), F.lit("|"), text)
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.unhex(F.substring(F.sha2(name, 256), 1, 32)).alias("key"))
+    return rows.join(dirty, "key", "left_anti").select("row.*")
 
 
 SQL = r"""

@@ -191,12 +191,13 @@ def exact_dedup(docs: DataFrame, capacity: int | None = None) -> DataFrame:
 
 
 def unique_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of repeated rows one."""
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text_sha256")
-    stay = exact_dedup(docs).where("kept").select(key.alias("_key")).distinct()
-    body = F.translate(F.coalesce("text", F.lit("")), SPACE.decode(), "")
-    tagged = docs.withColumn("text_sha256", F.sha2(body, 256)).withColumn("_key", key).drop("text_sha256")
-    return tagged.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    """The rows of ``docs`` that stay, with all their columns as they are; of repeated rows one."""
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), "text_sha256")
+    stay = exact_dedup(docs).where("kept").select(key.alias("key")).distinct()
+    body = F.translate(F.coalesce(F.col("row.text").cast("string"), F.lit("")), SPACE.decode(), "")
+    own = F.concat_ws(":", F.coalesce(F.col("row.doc_id").cast("long").cast("string"), F.lit("-")), F.sha2(body, 256))
+    rows = docs.select(F.struct("*").alias("row")).select("row", own.alias("key"))
+    return rows.join(stay, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 SQL = r"""

@@ -12,8 +12,8 @@ words or brackets for ``@`` and ``.`` between the parts of an address. The same
 the rewritten text, and a span there maps back to the first and last source character it covers.
 A span that overlaps a base span of its kind is not added, so base spans always stay as they are.
 
-NULL is an empty text. The work per row is linear in its length, but for long chains of single words
-joined by a bare "dot" without an "at", each of which is tried as the start of an address.
+NULL is an empty text. The work per row is linear in its length. Other columns are not read, repeated
+rows are judged one by one, and empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -47,14 +47,16 @@ SIGNS = dict(zip("。．․‐‑‒–−＠﹫  ", "...-----@@  "))
 DIGITS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 NUMBER = {w: str(d) for d, w in enumerate(DIGITS)} | {"oh": "0", "plus": "+"}
 SPELLED = re.compile(r"(?<![A-Za-z])(?:" + "|".join(NUMBER) + r")(?![A-Za-z])", re.IGNORECASE | re.ASCII)
-AT = r"\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+|\s+AT\s+"
-DOT = r"\s*[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*|\s+dot\s+|\s+DOT\s+"
-ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:{DOT}|\.)[A-Za-z0-9_%+-]+)*(?:{AT}|@)[A-Za-z0-9-]+(?:(?:{DOT}|\.)[A-Za-z0-9-]+)+")
-HINT = re.compile(r"(?i)[\[({<]\s*(?:at|dot|punkt|point|punto)\s*[\])}>]|\sdot\s")
+#: Parts of an address: a sign, a dot, what stands between them, and all else, blanks at once.
+SCAN = re.compile(
+    r"(?P<at>\s*+[\[({<]\s*+(?i:at|@)\s*+[\])}>]\s*+|\s++(?:at|AT)\s++|@)"
+    r"|(?P<dot>\s*+[\[({<]\s*+(?i:dot|punkt|point|punto|\.)\s*+[\])}>]\s*+|\s++(?:dot|DOT)\s++|\.)"
+    r"|(?P<name>[A-Za-z0-9_%+-]++)|\s++|[^\sA-Za-z0-9_%+-]")
+BRACKET, LABEL = re.compile(r"[\[({<]"), re.compile(r"[A-Za-z0-9-]+")
+#: Every address that is rewritten has one of these.
+HINT = re.compile(r"[\[({<]\s*+(?i:at|@|dot|punkt|point|punto|\.)\s*+[\])}>]|\s(?:dot|DOT)\s")
 #: Last labels that make an address of bare words (fixed values); with brackets any will do.
 LAST = frozenset("com org net edu gov info io co uk us eu de at ch fr es it nl be pl pt se dk fi ie in jp cn br mx ca au".split())
-PART = re.compile(rf"(?P<at>{AT})|(?P<dot>{DOT})", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -150,15 +152,45 @@ def spelled_digits(r: Rewritten) -> Rewritten:
     return r.replaced(edits) if edits else r
 
 
+def _host(parts: list, at: int) -> tuple[int, int]:
+    """(index of the last part, its end) of two labels or more from part ``at`` on, or (-1, 0)."""
+    last, end, labels = -1, 0, 0
+    while at < len(parts) and parts[at].lastgroup == "name" and (label := LABEL.match(parts[at][0])):
+        last, end, labels = at, parts[at].start() + label.end(), labels + 1
+        if label.end() < len(parts[at][0]) or at + 1 >= len(parts) or parts[at + 1].lastgroup != "dot":
+            break
+        at += 2
+    return (last, end) if labels > 1 else (-1, 0)
+
+
 def addresses(r: Rewritten) -> Rewritten:
-    """Words and brackets for at and dot, inside of what is an address with them."""
+    """Words and brackets for at and dot, inside of what is an address with them: names joined by
+    dots, a sign, labels joined by dots. A bare "at" and "dot" need a common last label, and a bare
+    "at" a spelled dot. One pass over the parts of the text."""
     if not HINT.search(r.text):
         return r
-    edits = []
-    for m in ADDRESS.finditer(r.text):
-        if not re.search(r"[\[({<@]", m[0]) and re.split(r"[^A-Za-z0-9-]", m[0])[-1].lower() not in LAST:
-            continue
-        edits += [(m.start() + p.start(), m.start() + p.end(), "@" if p["at"] else ".") for p in PART.finditer(m[0])]
+    parts, edits = list(SCAN.finditer(r.text)), []
+    begin, k = -1, 0
+    while k < len(parts):
+        kind = parts[k].lastgroup
+        if kind == "name":
+            if begin < 0 or parts[k - 1].lastgroup != "dot":
+                begin = k
+        elif kind == "dot":
+            begin = begin if k and parts[k - 1].lastgroup == "name" else -1
+        elif kind == "at" and begin >= 0 and parts[k - 1].lastgroup == "name":
+            last, end = _host(parts, k + 1)
+            joints = [x for x in parts[begin: last + 1] if x.lastgroup in ("at", "dot")] if last > 0 else []
+            written = [x for x in joints if x[0] not in "@."]
+            sure = parts[k][0] == "@" or any(BRACKET.search(x[0]) for x in written)
+            spelled = any(x.lastgroup == "dot" for x in written) and LABEL.match(parts[last][0])[0].lower() in LAST if last > 0 else False
+            if written and (sure or spelled):
+                edits += [(x.start(), x.end(), "@" if x.lastgroup == "at" else ".") for x in written]
+                k = last
+            begin = -1
+        else:
+            begin = -1
+        k += 1
     return r.replaced(edits) if edits else r
 
 

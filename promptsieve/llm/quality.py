@@ -122,10 +122,14 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, max_rows: int) -> DataFrame:
-    """(text, label) of at most ``max_rows`` labelled rows outside the held-out fold."""
-    known = labels.where(F.col(label).isNotNull() & (fold_of("doc_id", folds) != held)).select("doc_id", F.col(label).cast("int").alias("label"))
+    """(text, label) of the rows of at most ``max_rows`` labelled documents outside the held-out
+    fold; of repeated labels the larger one counts. No more than ``max_rows`` numbers are sent to
+    the tasks, so no text is shuffled."""
+    known = labels.where(F.col(label).isNotNull() & (fold_of("doc_id", folds) != held)).groupBy(
+        F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("text", "label")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").select("text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0,

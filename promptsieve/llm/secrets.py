@@ -9,8 +9,9 @@ included. A changed rule has a new version and is scanned again on all blobs tha
 
 Matches are leftmost and non-overlapping. Their places come from the same matcher: ``split``
 gives the gaps and ``regexp_extract_all`` the matches, so a start is the length of what lies
-before. Long texts therefore cost as much per character as short ones. Patterns run only on
-texts that hold one of their words (``gate``).
+before, a running sum over a text's matches. Patterns run only on texts that hold one of their
+words (``gate``), and never backtrack over a long run, so long texts cost as much per character
+as short ones.
 
 Copies are collapsed before texts are shuffled, and joins are by blob, where Spark splits what
 is skewed. Repeated rows are reported one by one. Empty tables give no rows.
@@ -20,10 +21,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from promptsieve.session import shared_folder
+from promptsieve.session import local_table, shared_folder
 
 
 @dataclass(frozen=True)
@@ -46,29 +47,38 @@ RULES = (
     Rule("assign", rf"""({KEYS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, "contains(text, '=') or contains(text, ':')"),
     Rule("access", "AKIA[A-Z0-9]++", 0, 20, "contains(text, 'AKIA')"),
     Rule("hex", "[0-9a-f]{24,}+", 0, 24),
-    Rule("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", gate="contains(text, '-----BEGIN ')", base=False),
-    Rule("bearer", r"Bearer\x20+[A-Za-z0-9._~+/-]{20,}+=*", gate="contains(text, 'Bearer ')", base=False),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/@]{1,100}@", gate="contains(text, '://') and contains(text, '@')", base=False),
+    Rule("private_key", "-----BEGIN [A-Z ]*+(?<=PRIVATE KEY)-----", gate="contains(text, '-----BEGIN ')", version="1.1", base=False),
+    Rule("bearer", r"Bearer\x20++[A-Za-z0-9._~+/-]{20,}+=*", gate="contains(text, 'Bearer ')", base=False),
+    # Begins only where no character of a scheme stands before: a long run of them is read once.
+    Rule("url_login", r"(?<![a-z0-9+.-])[0-9+.-]*+[a-z][a-z0-9+.-]*+://[^\s/:@]++:[^\s/@]++@",
+         gate="contains(text, '://') and contains(text, '@')", version="1.1", base=False),
 )
 VERSIONS, SCANNED, FINDINGS = "versions", "scanned", "findings"
 
 
-def _spans(rule: Rule) -> Column:
-    """Places of a rule's matches: array of (start, end), NULL where the gate is closed."""
-    gaps, whole = F.split("text", rule.pattern, -1), F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0))
-    part = F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-    items = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("hit"), part.alias("part"))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
+def _hits(rule: Rule) -> Column:
+    """Matches of a rule, NULL where the gate is closed or the pair is known."""
+    new = ~F.array_contains("done", f"{rule.kind}@{rule.version}")
+    return F.when(new & F.expr(rule.gate), F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0)))
 
-    def step(acc, item):
-        start = acc["at"] + F.length(item["gap"])
-        end = start + F.length(item["hit"])
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        good = F.length(item["part"]) >= rule.least
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    found = F.aggregate(items, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(F.expr(rule.gate) & F.col("text").rlike(rule.pattern), found)
+def _lengths(rule: Rule, hits: Column) -> Column:
+    """For each match the lengths of the gap before it, of itself and of the part that is judged. A
+    pattern looks at nothing around a match that its group depends on, so it is read off the match."""
+    judged = F.transform(hits, lambda h: F.length(F.regexp_extract(h, rule.pattern, rule.group) if rule.group else h))
+    gaps = F.transform(F.slice(F.split("text", rule.pattern, -1), 1, F.size(hits)), F.length)
+    return F.when(F.size(hits) > 0, F.arrays_zip(gaps.alias("gap"), F.transform(hits, F.length).alias("hit"), judged.alias("judged")))
+
+
+def _spans(found: DataFrame, least: DataFrame) -> DataFrame:
+    """(blob, kind, rule_version, spans) of rows (blob, kind, rule_version, lengths). A start is the sum
+    of what lies before: a running sum over the matches of a blob and rule, already in one task."""
+    each = found.select("blob", "kind", "rule_version", F.posexplode("lengths").alias("place", "of"))
+    so_far = Window.partitionBy("blob", "kind", "rule_version").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    ends = each.withColumn("end", F.sum(F.col("of.gap") + F.col("of.hit")).over(so_far).cast("int"))
+    good = ends.join(least, ["kind", "rule_version"]).where("of.judged >= least")
+    span = F.struct((F.col("end") - F.col("of.hit")).alias("start"), "end")
+    return good.groupBy("blob", "kind", "rule_version").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 class Ledger:
@@ -76,7 +86,6 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or shared_folder(spark, "ledger")
-        self.commits = 0
 
     def _table(self, name: str, schema: str) -> DataFrame:
         reader = self.spark.read.schema(schema).option("recursiveFileLookup", "true")
@@ -109,11 +118,12 @@ class Ledger:
         todo = blobs.join(done, "blob", "left").where(F.coalesce(F.size("done"), F.lit(0)) < len(rules))
         one = texts.groupBy("blob").agg(F.any_value("text").alias("text"))
         open_ = one.join(todo, "blob").withColumn("done", F.coalesce("done", F.array().cast("array<string>")))
-        found = open_.select("blob", "done", F.array(*(
-            F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("rule_version"),
-                     F.when(~F.array_contains("done", f"{r.kind}@{r.version}"), _spans(r)).alias("spans"))
-            for r in rules)).alias("found"))
-        rows = found.select("blob", F.inline(F.filter("found", lambda x: F.size(x["spans"]) > 0)))
+        matched = open_.select("blob", "text", *(_hits(r).alias(f"hits{k}") for k, r in enumerate(rules)))
+        found = matched.select("blob", F.inline(F.filter(F.array(*(
+            F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("rule_version"), _lengths(r, F.col(f"hits{k}")).alias("lengths"))
+            for k, r in enumerate(rules))), lambda x: F.size(x["lengths"]) > 0)))
+        least = local_table(self.spark, [(r.kind, r.version, r.least) for r in rules], "kind string, rule_version string, least int")
+        rows = _spans(found, least)
         self._append(rows, FINDINGS, version)
         pairs = todo.select("blob", F.explode(F.array_except(
             F.array(*(F.lit(f"{r.kind}@{r.version}") for r in rules)), F.coalesce("done", F.array().cast("array<string>")))).alias("pair"))

@@ -26,6 +26,7 @@ a NULL doc_id never becomes a component's id while the component has another one
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -62,18 +63,21 @@ def fingerprint(text: bytes, width: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fingerprint as signed long) for every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, width: int = 4, digests: bool = False) -> DataFrame:
+    """(doc_id, fingerprint as signed long, and if asked for SHA-256 of the text) for every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("digest", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in texts_of(batch)], np.uint64)
+            texts = texts_of(batch)
+            fps = np.array([fingerprint(t, width) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(values_of(batch, "doc_id"), pa.int64()), pa.array(fps.view(np.int64))], schema=schema)
+                [pa.array(values_of(batch, "doc_id"), pa.int64()), pa.array(fps.view(np.int64)),
+                 pa.array([hashlib.sha256(t).hexdigest() if digests else None for t in texts], pa.string())], schema=schema)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    found = docs.mapInArrow(run, "doc_id long, fp long, digest string")
+    return found if digests else found.drop("digest")
 
 
 def _remainder(words: np.ndarray) -> np.ndarray:
@@ -152,25 +156,33 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & close).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
-    prepared(docs.sparkSession)
-    prints = saved(fingerprints(docs, width), "prints")
+def _classes(prints: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of every different fingerprint of ``prints`` (doc_id, fp)."""
     different = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     roots = components(fingerprint_links(different)).toDF("fp", "root")
     owned = saved(different.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
     component = owned.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = saved(owned.join(component, "root").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp").select(
+    return saved(owned.join(component, "root").select("fp", "root", "component_id"), "classes")
+
+
+def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
+    prepared(docs.sparkSession)
+    prints = saved(fingerprints(docs, width), "prints")
+    return prints.join(_classes(prints), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the one whose doc_id is the component's. Shingles
-    and distance are the operator's. Rows without doc_id stay only when their whole component
-    has none."""
-    found = near_duplicates(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("_key")).distinct()
-    tagged = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
-    return tagged.join(stay, "_key", "left_semi").drop("_key")
+def representatives(docs: DataFrame, width: int = 4) -> DataFrame:
+    """One row of each component stays, with all its columns as they are: the one with the smallest
+    doc_id, rows without one last, then with the smallest digest of its text. Of repeated rows one
+    stays."""
+    prepared(docs.sparkSession)
+    prints = saved(fingerprints(docs, width, True), "prints")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    stay = prints.join(_classes(prints).select("fp", "root"), "fp").groupBy("root").agg(F.min(rank).alias("rank"))
+    name = F.concat_ws(":", F.coalesce(F.col("rank.doc_id").cast("string"), F.lit("-")), "rank.digest")
+    own = F.concat_ws(":", F.coalesce(F.col("row.doc_id").cast("long").cast("string"), F.lit("-")),
+                      F.sha2(F.coalesce(F.col("row.text").cast("string"), F.lit("")), 256))
+    rows = docs.select(F.struct("*").alias("row")).select("row", own.alias("key"))
+    return rows.join(stay.select(name.alias("key")), "key", "left_semi").dropDuplicates(["key"]).select("row.*")

@@ -594,3 +594,93 @@ def test_counterfactuals_of_letters_that_only_fold_to_ascii():
             text = term.replace(letter, c, 1)
             assert toxicity.counterfactuals(text) == [(text, toxicity.OTHER[term])]
     assert toxicity.counterfactuals("The muſlims and gırls") == [("The muſlims and gırls", "The christians and boys")]
+
+
+@pytest.mark.parametrize("text, hidden", [
+    ("j [@] example.com x", "j [@] example.com"), ("to j@example[.]com!", "j@example[.]com"), ("a.b (AT) c ( dot ) de", "a.b (AT) c ( dot ) de"),
+    ("x at y at jane at mail dot org", "jane at mail dot org"), ("j@mail dot anything", "j@mail dot anything"),
+])
+def test_pii_reads_brackets_and_spelled_dots(text, hidden):
+    base, added = pii.spans(text)
+    assert [text[a:b] for a, b in added["email"]] == [hidden]
+
+
+@pytest.mark.parametrize("text", ["jane at example.com", "jane AT example.com", "look at this. Dot the i", "he sat at a dot", "at [dot] at"])
+def test_pii_bare_at_needs_a_spelled_dot_whatever_else_is_there(text):
+    for more in (text, text + " and x [dot] y", "x [.] y " + text):
+        base, added = pii.spans(more)
+        assert not added["email"] and not base["email"]
+
+
+def test_pii_long_disguises_take_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("a dot " * 100_000, "a [dot] b " * 60_000 + "[at]", " " * 300_000 + "dot x", "[" * 100_000 + " dot ", "a at b " * 60_000 + " [at] "):
+        base, added = pii.spans(text)
+        assert not added["email"]
+    chain = "a dot " * 100_000 + "a at b dot com"
+    assert pii.spans(chain)[1]["email"] == [(0, len(chain))]
+    assert time.time() - began < 20
+
+
+def clashing(spark):
+    """Columns with the names that the stages use inside, and rows without an id or with one id."""
+    texts = [(1, "same text here for all of us"), (2, "same text here for all of us"), (2, "x y z"), (None, "same text here for all of us"),
+             (None, "another one without an id"), (None, "another one without an id"), (None, "third"), (7, None), (7, ""), (8, prose(7, 90))]
+    rows = [(i, t, f"k{n}", f"_{n}", f"sha{n}", n, f"row{n}", n) for n, (i, t) in enumerate(texts)]
+    return rows, spark.createDataFrame(
+        rows, "doc_id long, text string, key string, _key string, text_sha256 string, fp long, row string, root long")
+
+
+@pytest.mark.parametrize("stage", ["exact", "near", "benchmark", "quality"])
+def test_stages_keep_rows_as_they_are(spark, stage):
+    rows, docs = clashing(spark)
+    if stage == "exact":
+        got = exact_dedup.unique_documents(docs)
+    elif stage == "near":
+        got = simhash.representatives(docs)
+    elif stage == "benchmark":
+        got = decontaminate.clean_documents(docs, spark.createDataFrame([(1, prose(7, 40))], "item_id long, text string"))
+    else:
+        labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (2, 1, 0), (8, 0, 1), (8, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+        got = quality.good_documents(docs, labels)
+    assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString()
+    left = [tuple(r) for r in got.collect()]
+    assert set(left) <= set(rows) and len(left) == len(set(left))
+    if stage == "exact":
+        assert collections.Counter(normal(r[1]) for r in left) == collections.Counter({normal(t) for _, t, *_ in rows})
+    if stage == "near":
+        root = {simhash.fingerprint((t or "").encode(), 4) for _, t, *_ in rows}
+        assert len(left) == len(root) and {r[0] for r in left if "same" in (r[1] or "")} == {1}
+        assert sorted(r[1] or "" for r in left if r[0] is None) == ["another one without an id", "third"]
+    if stage == "benchmark":
+        assert len(left) == len(rows) - 1 and all(r[0] != 8 for r in left)
+
+
+def test_classifiers_with_repeated_and_missing_labels(spark):
+    """Extra columns named like the results, repeated ids and labels, and a label that is NULL."""
+    docs, labels = labelled(spark)
+    more = docs.withColumn("label", F.lit("x")).withColumn("score", F.lit(9)).union(docs.limit(3).withColumn("label", F.lit("y")).withColumn("score", F.lit(1)))
+    odd = labels.union(labels.limit(5)).union(spark.createDataFrame([(None, None, None), (1, None, None)], labels.schema))
+    for judge in (lambda: quality.quality(more, odd), lambda: toxicity.toxicity(more, odd)):
+        got = judge().collect()
+        assert len(got) == more.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+
+
+def test_secrets_of_long_texts(spark):
+    """Many secrets in one text, long credentials, and long runs that patterns could be slow on."""
+    import time
+
+    many = "x token=abcdef1 " * 100_000
+    long = "https://oauth2:" + "t" * 300 + "@host a://b:c@d -----BEGIN " + "A " * 40 + "PRIVATE KEY-----"
+    runs = "a" * 200_000 + " " + "a://" * 50_000 + " password" + " " * 100_000 + "-----BEGIN " + "A" * 100_000 + " @"
+    rows = [(1, many, "k"), (2, long, "k"), (3, runs, "k"), (4, many, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    secrets.secrets(docs.where("doc_id = 2")).collect()
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.secrets(docs).collect()}
+    assert time.time() - began < 20
+    assert got[1].n_assign == got[4].n_assign == 100_000 and got[1].base_spans == base_secrets(many)
+    assert got[2].spans == f"url_login:0:316,url_login:321:329,private_key:331:{len(long)}"
+    assert got[3].spans == base_secrets(runs)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from promptsieve.session import saved
+
 
 def _unexpired(now: Column) -> Column:
     return F.col("expires_at").isNull() | (now <= F.col("expires_at"))
@@ -61,46 +60,60 @@ def manifest_hash(bundles: Column, previous_hash: Column, sequence: Column, vers
     return F.sha2(F.to_json(F.parse_json(doc)), 256)
 
 
-_JUDGED = "channel string, arrival bigint, valid boolean, error string"
-
-
-def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fold over manifests sorted by (channel, arrival); keeps the last valid one."""
-    channel, sequence, digest = None, 0, ""
-    for batch in batches:
-        errors = []
-        for row in batch.itertuples(index=False):
-            if row.channel != channel:
-                channel, sequence, digest = row.channel, 0, ""
-            error = None
-            if not row.signature:
-                error = "missing signature"
-            elif row.sequence < sequence:
-                error = "sequence rollback"
-            elif digest and row.previous_hash and row.previous_hash != digest:
-                error = "previous_hash mismatch"
-            if error is None:
-                sequence, digest = row.sequence, row.manifest_hash
-            errors.append(error)
-        judged = batch[["channel", "arrival"]].copy()
-        judged["error"] = pd.Series(errors, index=judged.index, dtype=object)
-        judged["valid"] = judged["error"].isna()
-        yield judged[["channel", "arrival", "valid", "error"]]
-
-
-def audit_manifests(history: DataFrame) -> DataFrame:
+def audit_manifests(history: DataFrame, blocks: int = 256) -> DataFrame:
     """Judge each manifest of a channel in arrival order -> channel, arrival, valid, error.
 
     history: channel, arrival, sequence, previous_hash, manifest_hash, signature. A manifest
     must be signed, not fall below the sequence of the last valid one, and, where both sides
-    are known, name its hash. The state is one manifest, so a channel streams through its
-    task in constant memory.
+    are known, name its hash.
+
+    What a manifest is judged by, the greatest sequence of the valid ones before it and the hash of
+    the last, is a running maximum and a running last, each in two levels: per block of arrivals,
+    and over a channel's blocks (``blocks`` of equal width from the first to the last arrival). So a
+    channel is spread over its blocks. Which ones are valid is found by repetition: from a first
+    guess all are judged, then again by what was found, until nothing changes. Each round settles
+    at least the first manifest that was wrong, and all that do not depend on it; without named
+    hashes the first guess is right. Rounds are written to the shared folder.
     """
-    return (
-        history.select("channel", "arrival", "sequence", "previous_hash", "manifest_hash", "signature")
-        .repartition("channel").sortWithinPartitions("channel", "arrival")
-        .mapInPandas(_judge, _JUDGED)
-    )
+    rows = history.select(
+        "channel", "arrival", F.col("sequence").cast("bigint").alias("sequence"), F.nullif("previous_hash", F.lit("")).alias("previous_hash"),
+        F.nullif("manifest_hash", F.lit("")).alias("manifest_hash"), (F.coalesce("signature", F.lit("")) != "").alias("signed"))
+    timed = history.schema["arrival"].dataType.typeName() == "timestamp"
+    place = F.unix_micros("arrival") if timed else F.col("arrival").cast("bigint")
+    span = rows.agg(F.min(place).alias("low"), F.max(place).alias("high")).first()
+    if span.low is None:
+        return rows.select("channel", "arrival", F.lit(True).alias("valid"), F.lit(None).cast("string").alias("error"))
+    width = max(1, (span.high - span.low) // blocks + 1)
+    rows = rows.withColumn("block", F.floor((place - span.low) / width))
+    # The guess: every signed manifest counts, and one that names a hash names the one before it.
+    guess = F.col("signed") & F.coalesce(F.col("previous_hash") == F.col("last.hash"), F.lit(True)) & ~F.coalesce(
+        F.col("sequence") < F.col("greatest"), F.lit(False))
+    state = saved(_before(rows.withColumn("valid", F.col("signed"))).select(*rows.columns, guess.alias("valid")), "manifests")
+    error = (
+        F.when(~F.col("signed"), "missing signature")
+        .when(F.col("sequence") < F.coalesce("greatest", F.lit(0)), "sequence rollback")
+        .when(F.col("previous_hash") != F.col("last.hash"), "previous_hash mismatch"))
+    while True:
+        judged = _before(state).withColumn("error", error)
+        state = saved(judged.select(*rows.columns, F.col("error").isNull().alias("valid"), "error", (
+            F.col("error").isNull() != F.col("valid")).alias("changed")), "manifests")
+        if not state.where("changed").limit(1).count():
+            return state.select("channel", "arrival", "valid", "error")
+        state = state.drop("error", "changed")
+
+
+def _before(rows: DataFrame) -> DataFrame:
+    """Append ``greatest``, the greatest sequence of the valid rows before, and ``last``, the last of
+    them, in two levels."""
+    own = F.when(F.col("valid"), F.struct("arrival", F.col("manifest_hash").alias("hash")))
+    top = F.when(F.col("valid"), F.col("sequence"))
+    order = Window.partitionBy("channel").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = rows.groupBy("channel", "block").agg(F.max(top).alias("top"), F.max(own).alias("own")).select(
+        "channel", "block", F.max("top").over(order).alias("top_before"), F.max("own").over(order).alias("own_before"))
+    within = Window.partitionBy("channel", "block").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(earlier, ["channel", "block"]).withColumns({
+        "greatest": F.greatest("top_before", F.max(top).over(within)),
+        "last": F.coalesce(F.max(own).over(within), F.col("own_before"))}).drop("top_before", "own_before")
 
 
 def license_status(licenses: DataFrame, now: Column, instance_id: str | None = None) -> DataFrame:

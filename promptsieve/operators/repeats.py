@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +10,7 @@ from promptsieve.functions.text import glob_to_regex
 from promptsieve.functions.variant import (
     child, items_at, kind, parse_body, present, text_at, truthy,
 )
+from promptsieve.session import saved
 
 
 def is_repeatable(body: Column) -> Column:
@@ -67,73 +64,61 @@ def sensitive_policy_gate(requests: DataFrame, category_policy: DataFrame) -> Da
     return requests.join(sensitive, "policy_id", "left_anti")
 
 
-_RUNS = "key string, run bigint, at bigint, rank string"
-
-
-def _stores_of_runs(batches: Iterator[pd.DataFrame], ttl_ms: int) -> Iterator[pd.DataFrame]:
-    """Store rows of sorted (key, run, at, rank) rows.
-
-    Holds one store, whatever the number of rows. A run shorter than ``ttl_ms`` stores once,
-    at its first row, which is found for all runs of a batch together; in a longer one the
-    next store is found by binary search instead of a visit to each row.
-    """
-    current, stored = None, 0
-    for batch in batches:
-        if batch.empty:
-            continue
-        key, run, at = (batch[c].to_numpy() for c in ("key", "run", "at"))
-        cuts = np.flatnonzero((key[1:] != key[:-1]) | (run[1:] != run[:-1])) + 1
-        starts, ends = np.append(0, cuts), np.append(cuts, len(batch))
-        begins_anew = np.ones(len(starts), dtype=bool)
-        begins_anew[0] = (key[0], run[0]) != current
-        short = begins_anew & (at[ends - 1] - at[starts] < ttl_ms)
-        keep = list(starts[short])
-        for i in np.flatnonzero(~short):
-            times = at[starts[i]:ends[i]]
-            if begins_anew[i]:
-                stored = times[0] - ttl_ms
-            step = np.searchsorted(times, stored + ttl_ms)
-            while step < len(times):
-                keep.append(starts[i] + step)
-                stored = times[step]
-                step = np.searchsorted(times, stored + ttl_ms)
-        current = (key[-1], run[-1])
-        if short[-1]:
-            stored = at[starts[-1]]
-        yield batch.iloc[np.sort(keep)] if keep else batch.iloc[:0]
-
-
 def store_times(requests: DataFrame, ttl: int = K.CACHE_TTL_SECONDS) -> DataFrame:
     """(key, at, rank) of the requests whose response is stored; ``at`` in milliseconds.
 
     The first request of a key stores; the next one at least ``ttl`` after a store stores
-    again. That is sequential per key, so a hot key is first cut down and split:
+    again. That is a chain per key, which is followed without walking it:
 
     * requests of a key within one millisecond are one row (combined before the shuffle), so
       a key has no more rows than there are milliseconds, however many requests it gets;
     * with time cut into slots of length ``ttl``, a slot that follows an empty slot begins a
-      new run: no earlier store can still be alive there. Runs are independent tasks. The
-      window that numbers them sees one row per key and slot;
-    * a run streams through its task in sorted order and constant memory.
+      new run: no earlier store can still be alive there. A run of one slot stores at its first row,
+      and that is all;
+    * in a longer run every row points at the row that would store next if it stored: the first
+      one at least ``ttl`` later, in the next slot or the first of the one after. From the first row of
+      each run the stores are marked by pointer doubling: in each round the marked rows mark what
+      their pointers lead to, and pointers double their reach. A run of n slots has n stores at most,
+      so there are log n rounds, each a join by (key, at): a key that is never idle is spread over all
+      tasks. Rounds are written to the shared folder.
     """
     ttl_ms = ttl * 1000
     times = requests.groupBy("key", "at").agg(F.min("rank").alias("rank"))
     times = times.withColumn("slot", F.floor(F.col("at") / ttl_ms)).where(
-        "key is not null and slot is not null")
+        "key is not null and slot is not null and rank is not null")
     order = Window.partitionBy("key").orderBy("slot")
     begins = F.coalesce(F.col("slot") - F.lag("slot").over(order) > 1, F.lit(True))
-    # Equal filters and columns on both sides of the join let it read one shuffle twice.
-    runs = (
-        times.where("rank is not null").select("key", "slot").distinct()
-        .withColumn("begin", F.when(begins, F.col("slot")))
-        .select("key", "slot", F.last("begin", ignorenulls=True).over(order).alias("run"))
-    )
-    return (
-        times.join(runs, ["key", "slot"]).select("key", "run", "at", "rank")
-        .repartition("key", "run").sortWithinPartitions("key", "run", "at")
-        .mapInPandas(lambda batches: _stores_of_runs(batches, ttl_ms), _RUNS)
-        .drop("run")
-    )
+    goes_on = F.coalesce(F.lead("slot").over(order) - F.col("slot") == 1, F.lit(False))
+    slots = times.groupBy("key", "slot").agg(F.min_by(F.struct("at", "rank"), "at").alias("first")).select(
+        "key", "slot", "first", begins.alias("begins"), goes_on.alias("goes_on"), F.last(F.when(begins, F.col("slot")), True).over(order).alias("run"))
+    slots = saved(slots, "slots")
+    alone = slots.where("begins and not goes_on").select("key", "first.at", "first.rank")
+    longest = slots.agg(F.max(F.col("slot") - F.col("run") + 1)).first()[0] or 0
+    if longest < 2:
+        return alone
+    several = slots.where("not begins or goes_on")
+    rows = saved(times.join(several.select("key", "slot"), ["key", "slot"], "left_semi"), "candidates")
+    marked = saved(several.where("begins").select("key", "first.at"), "stores")
+    jumps = saved(_next_stores(rows, several, ttl_ms), "jumps")
+    for _ in range(int(longest - 1).bit_length()):
+        reached = marked.join(jumps, ["key", "at"]).select("key", F.col("to").alias("at"))
+        marked = saved(marked.union(reached), "stores")
+        further = jumps.select("key", F.col("at").alias("to"), F.col("to").alias("beyond"))
+        jumps = saved(jumps.join(further, ["key", "to"]).select("key", "at", F.col("beyond").alias("to")), "jumps")
+    return alone.union(rows.join(marked, ["key", "at"], "left_semi").select("key", "at", "rank"))
+
+
+def _next_stores(rows: DataFrame, slots: DataFrame, ttl_ms: int) -> DataFrame:
+    """(key, at, to): the first row at least ``ttl_ms`` after each row, where its run has one. It is
+    in the next slot, which sees the row as a probe at its own time; or it begins the slot after."""
+    probes = rows.select("key", (F.col("slot") + 1).alias("slot"), (F.col("at") + ttl_ms).alias("at"), F.lit(None).cast("bigint").alias("own"))
+    both = rows.select("key", "slot", "at", F.col("at").alias("own")).union(probes)
+    later = Window.partitionBy("key", "slot").orderBy(F.desc("at"), F.col("own").asc_nulls_last()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("to", F.min("own").over(later)).where("own is null").select(
+        "key", (F.col("at") - ttl_ms).alias("at"), (F.col("slot") + 1).alias("slot"), "to")
+    return found.join(slots.where("not begins").select("key", "slot", "first"), ["key", "slot"], "left").select(
+        "key", "at", F.coalesce("to", "first.at").alias("to")).where("to is not null")
 
 
 def repeat_hits(

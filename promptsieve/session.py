@@ -73,3 +73,11 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError(f"set {key} to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="promptsieve-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table into a new shared folder and read it back: it cuts lineage and gives later
+    steps a fixed input, whatever executor is lost."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

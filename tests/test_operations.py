@@ -154,6 +154,53 @@ def test_manifest_audit(spark):
                    ("c", 5): "missing signature", ("c", 6): None, ("d", 1): None}
 
 
+def test_manifests_of_one_channel_against_a_fold(spark):
+    """Named hashes, right and wrong, rollbacks and missing signatures; the channel is cut into blocks."""
+    rng = random.Random(2)
+    rows, hashes = [], [""]
+    for n in range(600):
+        named = rng.choice([None, "", hashes[-1], rng.choice(hashes), "wrong"]) if n % 3 else hashes[-1]
+        rows.append(("c", n, n // 2 + rng.choice([0, 0, 1, -3]), named, f"h{n}" if n % 17 else None, "s" if rng.random() < 0.9 else rng.choice(["", None])))
+        hashes.append(f"h{n}")
+    sequence, digest, want = 0, "", {}
+    for _, n, seq, named, own, signature in rows:
+        want[n] = ("missing signature" if not signature else "sequence rollback" if seq < sequence
+                   else "previous_hash mismatch" if digest and named and named != digest else None)
+        if want[n] is None:
+            sequence, digest = seq, own
+    df = spark.createDataFrame(rows, "channel string, arrival bigint, sequence bigint, previous_hash string, manifest_hash string, signature string")
+    for blocks in (1, 37):
+        judged = L.audit_manifests(df, blocks).collect()
+        assert {r.arrival: r.error for r in judged} == want and len(judged) == 600 and all(r.valid == (r.error is None) for r in judged)
+    assert set(want.values()) == {None, "missing signature", "sequence rollback", "previous_hash mismatch"}
+    assert L.audit_manifests(df.limit(0)).count() == 0
+
+
+def test_policy_snapshots_keep_the_last_good(spark, folder):
+    from promptsieve.session import local_table
+    from promptsieve.sources.policy import SCHEMAS
+    from promptsieve.sources.snapshots import PolicyInForce, PolicySnapshots
+
+    snapshots = PolicySnapshots(spark, folder)
+    rows = lambda *r: {"category_policy": local_table(spark, list(r), SCHEMAS["category_policy"])}
+    policy = PolicyInForce(snapshots)
+    with pytest.raises(ValueError):
+        policy.refresh()
+    snapshots.publish(1, rows(("pii", "block", 0.5, None)))
+    assert policy.refresh().version == 1
+    for version, bad in ((2, ("pii", "explode", 0.5, None)), (3, ("pii", "block", 1.5, None)), (4, (None, "block", None, None))):
+        snapshots.publish(version, rows(bad))
+    snapshots.publish(5, {"category_policy": spark.range(1)})
+    with pytest.warns(UserWarning):
+        assert policy.refresh().version == 1
+    assert PolicyInForce(snapshots).snapshots.last_good() == 1
+    with pytest.warns(UserWarning):
+        assert PolicyInForce(snapshots).refresh().version == 1
+    snapshots.publish(6, rows(("pii", "warn", None, 0.9)) | {"settings": local_table(spark, [("policy.default_action", "log")], SCHEMAS["settings"])})
+    now = policy.refresh()
+    assert (now.version, now.default_action, now.category_policy.first().action) == (6, "log", "warn")
+
+
 def test_bundle_files(spark, folder):
     write(folder, "b1/content.yaml", "12345")
     write(folder, "b1/license.json", "{}")

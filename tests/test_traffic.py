@@ -239,6 +239,26 @@ def test_response_scan(spark):
     assert sorted(r.status for r in response_outcome(raw, "body", LEAKS).collect()) == [200, 502]
 
 
+def test_repeats_of_a_key_that_never_idles(spark):
+    """One key, asked all the time: its stores are a long chain, found without walking it, over many tasks."""
+    rng = random.Random(6)
+    at, rows = datetime(2024, 1, 1), []
+    for n in range(3000):
+        at += timedelta(milliseconds=rng.choice([1, 500, 9_000, 20_000]))
+        rows.append((f"{n:05d}", "hot", at, rng.random() < 0.8))
+    rows += [(f"x{n}", f"k{n}", at, True) for n in range(50)]
+    df = spark.createDataFrame(rows, "request_id string, key string, ts timestamp, ok boolean")
+    got = {r.request_id: r.is_hit for r in R.repeat_hits(df, ttl=60, storable=F.col("ok")).collect()}
+    stored, want, stores = None, {}, 0
+    for i, k, t, ok in rows[:3000]:
+        want[i] = stored is not None and (t - stored).total_seconds() < 60
+        if not want[i] and ok:
+            stored, stores = t, stores + 1
+    assert {i: h for i, h in got.items() if not i.startswith("x")} == want and stores > 100
+    plan = R.store_times(df.select("key", F.unix_millis("ts").alias("at"), F.col("request_id").alias("rank")))._jdf.queryExecution().toString()
+    assert "InPandas" not in plan and "ArrowEval" not in plan
+
+
 def python_stream(chunks, mode, size):
     """Content that is scanned of one stream, as (content, ...) per scan."""
     if mode == "passthrough":

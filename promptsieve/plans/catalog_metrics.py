@@ -13,6 +13,7 @@ from promptsieve.plans import traffic as X
 from promptsieve.plans.catalog_cost import _requests, _route_ctes
 from promptsieve.plans.catalog_detection import VERDICTS, verdicts
 from promptsieve.plans.catalog_policy import RESOLVED, _resolved
+from promptsieve.sources.delivery import DeliveryLedger
 from promptsieve.sources.sinks import to_prometheus, write_events
 from promptsieve.session import local_table, shared_folder
 
@@ -252,8 +253,26 @@ _EVENT_SINK = """SELECT CASE event_type WHEN 'click' THEN 'usage' ELSE 'detectio
 count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY ALL"""
 
 
+def _deliveries(spark, sf):
+    """Events sent in two attempts to a receiver that is down for detections at first, and refuses the
+    detections that it gets with the second; joined with the dead letters that are left of them."""
+    events = X.table(spark, sf, "events").selectExpr(
+        "event_id", "cast(ts as timestamp) as ts", "case event_type when 'click' then 'usage' else event_type end as event_type", "props")
+    ledger = DeliveryLedger(spark)
+    ledger.deliver(events, lambda batch: 200 if batch[0]["event_type"] == "usage" else 503)
+    ledger.deliver(events, lambda batch: 500 if batch[0]["event_type"] == "usage" else 422)
+    letters = ledger.dead_letters(events).select(F.col("event_id").cast("string").alias("event_id"), F.octet_length("props").alias("letter_bytes"))
+    return ledger.settled().join(letters, "event_id", "left").select(
+        F.col("event_id").cast("bigint").alias("event_id"), "outcome", "attempt", "status", F.col("letter_bytes").cast("bigint").alias("letter_bytes"))
+
+
+_DELIVERIES = """SELECT event_id, CASE event_type WHEN 'click' THEN 'sent' ELSE 'dead' END AS outcome, CASE event_type WHEN 'click' THEN 1 ELSE 2 END AS attempt,
+CASE event_type WHEN 'click' THEN 200 ELSE 422 END AS status, CASE event_type WHEN 'click' THEN NULL ELSE strlen(props) END AS letter_bytes FROM events"""
+
+
 ENTRIES = {
     "snk_events": (_event_sink, _EVENT_SINK),
+    "snk_deliveries": (_deliveries, _DELIVERIES),
     "agg_request_counts": (
         _request_counts, f"WITH {LOG} SELECT upstream, method, status::BIGINT AS status, count(*) AS n FROM log GROUP BY ALL"),
     "agg_scan_counts": (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from promptsieve import constants as K
 from promptsieve.functions.text import redact, redact_headers
 from promptsieve.operators.signatures import Rule, RuleSet
 
+if TYPE_CHECKING:
+    from promptsieve.sources.delivery import DeliveryLedger
+
 RETRY_STATUS = frozenset({408, 429})
 
 
@@ -61,12 +65,16 @@ def send_batches(
     return sent, dropped
 
 
-def post_events(events: DataFrame, send: Callable[[list[dict]], int]) -> None:
-    """Send events from the executors, detection and usage groups apart."""
-    grouped = with_event_groups(events)
-    for kind in ("detection", "usage"):
-        part = grouped.where(F.col("kind") == kind).drop("kind", "date")
-        part.foreachPartition(lambda rows: send_batches(rows, send))
+def post_events(events: DataFrame, send: Callable[[list[dict]], int], folder: str | None = None, attempts: int = 3) -> DeliveryLedger:
+    """Send events from the executors, detection and usage groups apart, in up to ``attempts``
+    attempts -> the ledger of what became of them."""
+    from promptsieve.sources.delivery import OPEN, DeliveryLedger
+
+    ledger = DeliveryLedger(events.sparkSession, folder)
+    for _ in range(attempts):
+        if not ledger.deliver(events, send).get(OPEN):
+            break
+    return ledger
 
 
 def write_events(events: DataFrame, path: str, checkpoint: str | None = None, trigger: dict | None = None):

@@ -114,6 +114,32 @@ def test_events_sink_and_batches(spark, folder):
             S.send_batches(iter(rows), lambda b: status)
 
 
+def test_deliveries_account_for_every_event(spark, folder):
+    """A receiver that fails by rule: what is refused is kept, what failed is sent again, nothing twice."""
+    from promptsieve.sources.delivery import DeliveryLedger
+
+    rows = [(n, datetime(2024, 1, 1), "usage" if n % 2 else "scan", f"p{n}") for n in range(500)] + [(None, None, "usage", "nameless")]
+    events = spark.createDataFrame(rows, "event_id bigint, ts timestamp, event_type string, props string").repartition(3)
+    ledger = DeliveryLedger(spark, folder)
+
+    def flaky(batch):
+        if any(e["event_id"] % 100 == 7 for e in batch):
+            raise OSError("connection lost")
+        return 429 if any(e["event_id"] % 100 == 8 for e in batch) else 400 if batch[0]["event_type"] == "usage" else 204
+
+    first = ledger.deliver(events, flaky, 10)
+    assert sum(first.values()) == 500 and first["open"] > 0
+    second = ledger.deliver(events, lambda batch: 200, 10)
+    assert second == {"sent": first["open"]}
+    assert ledger.deliver(events, lambda batch: 1 / 0, 10) == {}
+    settled = ledger.settled().collect()
+    assert sorted(int(r.event_id) for r in settled) == list(range(500))
+    letters = ledger.dead_letters(events).collect()
+    assert len(letters) == first.get("dead", 0) and all(r.event_type == "usage" and r.refused_with == 400 and r.props == f"p{r.event_id}" for r in letters)
+    counts = S.post_events(events, lambda batch: 200 if batch[0]["event_type"] == "usage" else 500, attempts=2).batches().groupBy("outcome").count().collect()
+    assert {r.outcome for r in counts} == {"sent", "open"}
+
+
 def test_stream_sink(spark, folder):
     events = spark.createDataFrame([("e1", datetime(2024, 1, 1), "usage")], "event_id string, ts timestamp, event_type string")
     events.write.parquet(folder + "/in")

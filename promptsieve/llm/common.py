@@ -30,11 +30,11 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def saved(df: DataFrame, purpose: str) -> DataFrame:
+def saved(df: DataFrame, purpose: str, compression: str = "zstd") -> DataFrame:
     """Write a table into a new shared folder and read it back: it cuts lineage and gives
     later stages a fixed input, whatever executor is lost."""
     path = shared_folder(df.sparkSession, purpose)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -58,7 +58,7 @@ from pyspark.sql import functions as F
 
 from promptsieve.llm.common import blocks, fold, mixed, powers, prepared, saved, texts_of, values_of
 
-BLOCK = 8 << 20
+BLOCK = 12 << 20
 #: Bytes of the predictors' contexts, and slots of their tables as powers of two.
 BYTES = (1, 2, 3, 4, 6)
 SLOTS = (16, 17, 18, 19, 20)
@@ -521,12 +521,11 @@ def _sum_grams(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of a block as one compressed value: few bytes to shuffle. The end is the empty line."""
+    """Words of a block as one compressed value, a line each: few bytes to shuffle. The last word of a
+    block is the end, which is a line break itself."""
     for batch in batches:
-        packs = []
-        for i in range(batch.num_rows):
-            text = "\n".join("" if w == "\n" else w for w in batch.column("words")[i].values.to_pylist()).encode()
-            packs.append(len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True))
+        joined = pc.binary_join(batch.column("words"), "\n").cast(pa.binary()).to_pylist()
+        packs = [len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True) for text in joined]
         at = batch.schema.get_field_index("words")
         yield batch.set_column(at, "words", pa.array(packs, pa.binary()))
 
@@ -546,8 +545,9 @@ def _documents(n: int, v: int, bits: int):
         base = np.log10((c + 0.5) / denominator)
         doc = docs.iloc[0]
         lengths, ids = np.array(doc["n_tokens"]), unpressed(doc["ids"])
-        known = pa.decompress(doc["words"][8:], int.from_bytes(doc["words"][:8], "little"), "zstd", asbytes=True).decode().split("\n")
-        keys, later = _grams([w or "\n" for w in known], lengths, ids, bits)
+        text = pa.decompress(doc["words"][8:], int.from_bytes(doc["words"][:8], "little"), "zstd", asbytes=True)
+        lines = pc.split_pattern(pa.array([text], pa.large_binary()).cast(pa.large_string()), "\n").values
+        keys, later = _grams(pa.concat_arrays([lines[:-2], pa.array(["\n"], pa.large_string())]), lengths, ids, bits)
         total = np.concatenate([unpressed(x) for x in grams["total"]])[distinct(keys, bits)[1]]
         # No pair is more frequent than its tokens, no triple than its pairs, whatever shares a hash.
         pairs, triples = np.minimum(total[: len(ids)], c[ids]), np.zeros(len(ids), np.int64)
@@ -718,13 +718,13 @@ def _score_texts(weight: np.ndarray, n: int):
     return run
 
 
-def _saved(df: DataFrame, purpose: str) -> DataFrame:
+def _saved(df: DataFrame, purpose: str, compression: str = "zstd") -> DataFrame:
     """As ``saved``; the shuffle files behind it are removed at once, as the later steps do not read them."""
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key)
     conf.set(key, "true")
     try:
-        return saved(df, purpose)
+        return saved(df, purpose, compression)
     finally:
         conf.set(key, before)
 
@@ -744,12 +744,12 @@ def scores(docs: DataFrame, folds: int = 5, held: int = 1, tasks: int | None = N
     model = spark.sparkContext.broadcast(train(vocabulary, tasks))
     scored = vocabulary.mapInArrow(_score(model), "word string, c long, score double, bytes long")
     places = tokens.select(F.col("block").alias("part"), F.posexplode("words").alias("place", "word")).join(scored.hint("shuffle_hash"), "word").select("part", "place", "c", F.col("score").cast("float").alias("score"), "bytes")
-    places = _saved(places.mapInArrow(_by_block, "part long, place binary, c binary, score binary, bytes binary"), "places")
+    places = _saved(places.mapInArrow(_by_block, "part long, place binary, c binary, score binary, bytes binary"), "places", "uncompressed")
     grams = tokens.select("block", "held_out", "n_tokens", "ids", "words").mapInArrow(
         _count_grams(max(partitions, 2 * n // DEALT), bits), "block long, deal long, keys binary, n binary")
-    totals = _saved(grams.groupBy("deal").applyInPandas(_sum_grams, "part long, deal long, total binary"), "grams")
+    totals = _saved(grams.groupBy("deal").applyInPandas(_sum_grams, "part long, deal long, total binary"), "grams", "uncompressed")
     found = places.unionByName(totals, allowMissingColumns=True)
     documents = tokens.select("block", F.col("doc_id").cast("array<string>").alias("doc_id"), "held_out", "n_tokens", "ids", "words").mapInArrow(
         _pack_words, "block long, doc_id array<string>, held_out array<boolean>, n_tokens array<long>, ids binary, words binary")
-    texts = _saved(documents.groupBy("block").cogroup(found.groupBy("part")).applyInPandas(_documents(n, v, bits), TEXTS), "texts")
+    texts = _saved(documents.groupBy("block").cogroup(found.groupBy("part")).applyInPandas(_documents(n, v, bits), TEXTS), "texts", "uncompressed")
     return texts.mapInArrow(_score_texts(text_weights(texts, tasks), n), SCORES)

@@ -732,6 +732,8 @@ def _saved(df: DataFrame, purpose: str, compression: str = "zstd") -> DataFrame:
 def scores(docs: DataFrame, folds: int = 5, held: int = 1, tasks: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = prepared(docs.sparkSession)
+    # Larger blocks have fewer words and pairs in all; BLOCK bounds them.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "6000")
     tasks = tasks or spark.sparkContext.defaultParallelism
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tokens = saved(docs.mapInArrow(_tokenise(folds, held), TOKENS), "tokens")

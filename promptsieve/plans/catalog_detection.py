@@ -266,23 +266,25 @@ _FOLD = "md5(cast(cast(doc_id as {}) as {})) >= 'd'"
 
 
 def _naive_bayes(spark, sf):
-    data = _labelled(spark, sf).withColumn("held", F.expr(_FOLD.format("string", "binary")))
-    model = naive_bayes_fit(data.where("not held"))
-    scored = naive_bayes_classify(data.where("held"), "doc_id", *model)
-    return scored.select("doc_id", "label", F.round("log_score", 4).alias("log_score"), "best")
-
-
-_NAIVE_BAYES = f"""WITH data AS (SELECT doc_id, text, CASE WHEN toxic = 1 THEN 'toxic_content' ELSE 'safe' END AS label,
-  {_FOLD.format("varchar", "varchar")} AS held FROM labels JOIN documents USING (doc_id)),
-words AS (SELECT doc_id, label, held, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS token FROM data),
-model AS (SELECT label, token, count(*) AS c FROM words WHERE NOT held GROUP BY ALL),
+    """All documents, scored by a model of the labelled ones outside the fold."""
+    docs = table(spark, sf, "documents").select("doc_id", "text").withColumn("held_out", F.expr(_FOLD.format("string", "binary")))
+    labelled = _labelled(spark, sf).withColumn("held_out", F.expr(_FOLD.format("string", "binary")))
+    scored = naive_bayes_classify(docs, "doc_id", *naive_bayes_fit(labelled.where("not held_out")))
+    return scored.join(docs.select("doc_id", "held_out"), "doc_id").select(
+        "doc_id", "held_out", "label", F.round("log_score", 4).alias("log_score"), "best")
+
+
+_NAIVE_BAYES = f"""WITH docs AS (SELECT doc_id, text, {_FOLD.format("varchar", "varchar")} AS held_out FROM documents),
+data AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic_content' ELSE 'safe' END AS label FROM labels JOIN docs USING (doc_id) WHERE NOT held_out),
+words AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS token FROM docs),
+model AS (SELECT label, token, count(*) AS c FROM words JOIN data USING (doc_id) GROUP BY ALL),
 classes AS (SELECT label, count(*) AS docs, (SELECT coalesce(sum(c), 0) FROM model m WHERE m.label = d.label) AS tokens,
-  (SELECT count(DISTINCT token) FROM model) AS vocabulary FROM data d WHERE NOT held GROUP BY label),
+  (SELECT count(DISTINCT token) FROM model) AS vocabulary FROM data d GROUP BY label),
 sums AS (SELECT w.doc_id, k.label, sum(ln(coalesce(m.c, 0) + 1) - ln(k.tokens + k.vocabulary)) AS s
-  FROM words w CROSS JOIN classes k LEFT JOIN model m ON m.label = k.label AND m.token = w.token WHERE w.held GROUP BY ALL),
-scored AS (SELECT d.doc_id, k.label, ln(k.docs + 1) + coalesce(s, 0) AS log_score
-  FROM data d CROSS JOIN classes k LEFT JOIN sums ON sums.doc_id = d.doc_id AND sums.label = k.label WHERE d.held)
-SELECT doc_id, label, round(log_score, 4) AS log_score,
+  FROM words w CROSS JOIN classes k LEFT JOIN model m ON m.label = k.label AND m.token = w.token GROUP BY ALL),
+scored AS (SELECT d.doc_id, held_out, k.label, ln(k.docs + 1) + coalesce(s, 0) AS log_score
+  FROM docs d CROSS JOIN classes k LEFT JOIN sums ON sums.doc_id = d.doc_id AND sums.label = k.label)
+SELECT doc_id, held_out, label, round(log_score, 4) AS log_score,
   row_number() OVER (PARTITION BY doc_id ORDER BY round(log_score, 6) DESC, label) = 1 AS best FROM scored"""
 
 

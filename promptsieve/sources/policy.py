@@ -1,13 +1,12 @@
 """Policy source: one YAML file -> dimension tables.
 
-The file is configuration, read on the driver; each table has a handful of rows.
+The file is configuration, read through Hadoop's file systems; each table has a handful of rows.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from pathlib import Path
 from typing import Any
 
 import yaml
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from promptsieve import constants as K
 from promptsieve.session import local_table
+from promptsieve.sources.signatures import read_text
 
 _VARIABLE = re.compile(r"\$\{([^}:]+)(?::-([^}]*))?\}")
 
@@ -130,7 +130,7 @@ def policy_tables(text: str) -> dict[str, list[tuple]]:
 
 
 def read_policy(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Policy file -> category_policy, allowlist, upstreams, routing_tasks, downgrades,
-    settings."""
-    rows = policy_tables(Path(path).read_text(encoding="utf-8"))
+    """Policy file, on any file system that Hadoop knows -> category_policy, allowlist, upstreams,
+    routing_tasks, downgrades, settings."""
+    rows = policy_tables(read_text(spark, str(path)))
     return {name: local_table(spark, rows[name], SCHEMAS[name]) for name in SCHEMAS}

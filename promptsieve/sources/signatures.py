@@ -113,12 +113,16 @@ def read_signature_version(path: str, spark: SparkSession | None = None) -> str:
     """Text of the ``.version`` file beside the rules, '' if there is none. A file that is
     there but cannot be read is an error."""
     spark = spark or SparkSession.active()
-    system, at = _file(spark, f"{path.rstrip('/')}/.version")
-    if not system.exists(at):
-        return ""
+    version = f"{path.rstrip('/')}/.version"
+    return read_text(spark, version).strip() if _exists(spark, version) else ""
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file on any file system that Hadoop knows."""
+    system, at = _file(spark, path)
     stream = system.open(at)
     try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
 

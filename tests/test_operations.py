@@ -202,6 +202,17 @@ def test_manifests_of_one_channel_against_a_fold(spark):
     assert L.audit_manifests(df.limit(0)).count() == 0
 
 
+def test_policy_is_read_through_hadoop(spark, folder):
+    """By a URI, and on a file system that is not the default one and that Python does not know."""
+    write(folder, "policy.yaml", "policy: {default_action: warn, categories: {pii: {action: log}}}")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.shelf.link./in", f"file:{folder}")
+    for path in (f"{folder}/policy.yaml", f"file:{folder}/policy.yaml", "viewfs://shelf/in/policy.yaml"):
+        assert read_policy(spark, path)["category_policy"].first().action == "log"
+    with pytest.raises(Exception, match="nothing.yaml"):
+        read_policy(spark, f"file:{folder}/nothing.yaml")
+
+
 def test_policy_snapshots_keep_the_last_good(spark, folder):
     from promptsieve.session import local_table
     from promptsieve.sources.policy import SCHEMAS

@@ -190,20 +190,19 @@ def test_repeat_hits_against_sequential(spark):
     assert not wrong, wrong[:5]
 
 
-def test_stores_do_not_depend_on_batches():
+def test_stores_do_not_depend_on_partitions(spark):
+    """Chains of every length, with gaps, against a walk; rows in any order and partition."""
     rng = random.Random(9)
-    rows = sorted({(f"k{rng.randint(0, 5)}", rng.randint(0, 2), rng.randint(0, 400)) for _ in range(900)})
+    rows = sorted({(f"k{rng.randint(0, 9)}", rng.randint(0, 2) * 400_000 + 97 * rng.randint(0, 900)) for _ in range(900)})
     want, last = [], {}
-    for key, run, at in rows:
-        if (key, run) not in last or at - last[key, run] >= 30:
-            last[key, run] = at
-            want.append((key, run, at))
-    frame = pd.DataFrame([(*r, "x") for r in rows], columns=["key", "run", "at", "rank"])
-    for _ in range(20):
-        cuts = sorted(rng.sample(range(1, len(rows)), 25))
-        parts = [frame.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
-        got = pd.concat(R._stores_of_runs(iter(parts), 30))
-        assert list(got[["key", "run", "at"]].itertuples(index=False, name=None)) == want
+    for key, at in rows:
+        if key not in last or at - last[key] >= 3000:
+            last[key] = at
+            want.append((key, at, f"r{at}"))
+    for parts in (1, 7):
+        mixed = spark.createDataFrame([(k, at, f"r{at}") for k, at in rng.sample(rows, len(rows))], "key string, at bigint, rank string")
+        more = mixed.union(mixed.withColumn("rank", F.concat("rank", F.lit("-later")))).repartition(parts)
+        assert sorted(tuple(r) for r in R.store_times(more, 3).select("key", "at", "rank").collect()) == want
 
 
 def test_prompt_cache_rewrite(spark):

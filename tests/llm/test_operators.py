@@ -684,3 +684,53 @@ def test_secrets_of_long_texts(spark):
     assert got[1].n_assign == got[4].n_assign == 100_000 and got[1].base_spans == base_secrets(many)
     assert got[2].spans == f"url_login:0:316,url_login:321:329,private_key:331:{len(long)}"
     assert got[3].spans == base_secrets(runs)
+
+
+def mixer_by_hand(model, tokens, counts):
+    """log10 probability of each token, bit by bit, with beginnings counted by a walk over all tokens."""
+    whole = (1 << 64) - 1
+
+    def spread(h):
+        for _ in range(2):
+            h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & whole
+        return h ^ (h >> 32)
+
+    streams = [t if t == b"\n" else t + b" " for t in tokens]
+    bits = ["".join(f"{c:08b}" for c in s) for s in streams]
+    for own, stream in zip(bits, streams):
+        total = 0.0
+        for place, byte in enumerate(stream):
+            node = 1
+            for b in range(8):
+                at = 8 * place + b
+                alike = [(other[at], c) for other, c in zip(bits, counts) if other[:at] == own[:at] and len(other) > at]
+                n0, n1 = (sum(c for x, c in alike if x == v) if place >= context_mixing.PREFIX else 0 for v in "01")
+                gate = sum(n0 + n1 >= x for x in context_mixing.LEVELS) * 64 + min(place, 7) * 8 + b
+                weight = model.weight[gate]
+                z = weight[-1] + weight[-2] * math.log((n1 + context_mixing.PRIOR) / (n0 + context_mixing.PRIOR))
+                context, slot = 0, 0
+                for k in range(1, max(context_mixing.BYTES) + 1):
+                    context = (context * 257 + (stream[place - k] + 1 if place >= k else 0)) & whole
+                    if k in context_mixing.BYTES:
+                        h = (spread((context + (k << 60)) & whole) + node * int(context_mixing.NODE)) & whole
+                        z += weight[slot] * model.odds[slot][h >> (64 - context_mixing.SLOTS[slot])]
+                        slot += 1
+                z = min(12.0, max(-12.0, z))
+                p = 1 / (1 + math.exp(-z))
+                step = node * context_mixing.STEPS + min(context_mixing.STEPS - 1, max(0, round((z + 12) * (context_mixing.STEPS - 1) / 24)))
+                p = (p + (model.ones[step] + 2 * p) / (model.total[step] + 2)) / 2
+                bit = byte >> (7 - b) & 1
+                total += math.log10(min(1 - 1e-6, max(1e-6, p if bit else 1 - p)))
+                node = 2 * node + bit
+        yield total
+
+
+def test_lm_mixer_against_a_mixer_by_hand():
+    rng = np.random.default_rng(11)
+    tokens = sorted({b"\n", b"a", b"abc", b"abcd", b"abcde", b"abcdf", b"abce", b"b" * 12, b"b" * 14, "übel".encode(), "übung".encode(), b"zzz"})
+    counts = rng.integers(0, 2000, len(tokens)).astype(float)
+    seen = rng.integers(0, 50, 256 * context_mixing.STEPS).astype(float)
+    model = context_mixing.Model(
+        [rng.normal(0, 1, 1 << s).astype(np.float32) for s in context_mixing.SLOTS],
+        rng.normal(0.2, 0.2, (context_mixing.GATES, len(context_mixing.SLOTS) + 2)).astype(np.float32), seen * rng.random(len(seen)), seen)
+    assert model.costs(tokens, counts).tolist() == pytest.approx(list(mixer_by_hand(model, tokens, counts)), rel=1e-4)

@@ -57,16 +57,20 @@ def values_of(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+def ranges(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` bytes each; a longer text is a range of its own."""
     start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+    for i, n in enumerate(sizes):
+        if size and size + n > limit:
             yield start, i
             start, size = i, 0
-        size += len(t) + 1
-    if start < len(texts):
-        yield start, len(texts)
+        size += n + 1
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    return ranges([len(t) for t in texts], limit)
 
 
 BASE = np.uint64(0x9E3779B97F4A7C15)

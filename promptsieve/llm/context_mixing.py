@@ -56,9 +56,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptsieve.llm.common import blocks, fold, mixed, powers, prepared, saved, texts_of, values_of
+from promptsieve.llm.common import fold, mixed, powers, prepared, ranges, saved, texts_of, values_of
 
-BLOCK = 12 << 20
+BLOCK = 11 << 20
 #: Bytes of the predictors' contexts, and slots of their tables as powers of two.
 BYTES = (1, 2, 3, 4, 6)
 SLOTS = (16, 17, 18, 19, 20)
@@ -131,9 +131,8 @@ def _tokenise(folds: int, held: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            doc_ids, texts = values_of(batch, "doc_id"), texts_of(batch)
-            column = batch.column(batch.schema.get_field_index("text"))
-            for low, high in blocks(texts, BLOCK):
+            doc_ids, column = values_of(batch, "doc_id"), batch.column(batch.schema.get_field_index("text"))
+            for low, high in ranges(pc.fill_null(pc.binary_length(column), 0).to_pylist(), BLOCK):
                 split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.slice(low, high - low), "")))
                 words = split.flatten()
                 # A text that begins or ends with a blank has an empty word there.
@@ -442,12 +441,16 @@ def distinct(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     low = max(1, n - 1).bit_length()
     if bits + low > 64:
         return np.unique(keys, return_inverse=True)
-    both = np.sort((keys << np.uint64(low)) | np.arange(n, dtype=np.uint64))
-    order = (both & np.uint64((1 << low) - 1)).astype(np.int64)
+    both = keys << np.uint64(low)
+    both |= np.arange(n, dtype=np.uint64)
+    both.sort()
+    order = (both & np.uint64((1 << low) - 1)).view(np.int64)
     both >>= np.uint64(low)
     new = np.append(True, both[1:] != both[:-1])[:n]
+    rank = np.cumsum(new)
+    rank -= 1
     at = np.empty(n, np.int64)
-    at[order] = np.cumsum(new) - 1
+    at[order] = rank
     return both[new], at
 
 
@@ -485,7 +488,9 @@ def _grams(words, lengths: np.ndarray, ids: np.ndarray, bits: int = 64) -> tuple
     pair = mixed(earlier(lengths, key) * PAIR + key)
     later = np.ones(len(ids), bool)
     later[np.cumsum(lengths) - lengths] = False
-    return np.concatenate([pair, mixed(pair[np.flatnonzero(later) - 1] * TRIPLE + key[later])]) >> np.uint64(64 - bits), later
+    grams = np.concatenate([pair, mixed(pair[np.flatnonzero(later) - 1] * TRIPLE + key[later])])
+    grams >>= np.uint64(64 - bits)
+    return grams, later
 
 
 def _count_grams(parts: int, bits: int):

@@ -93,6 +93,15 @@ def test_offsets_are_those_of_the_matcher(spark):
         ("(?<=-)cat", 9, 12), (r"\bcat\b", 9, 12), (r"\bcat\b", 13, 16), ("^con|cat$", 0, 3), ("^con|cat$", 13, 16)]
 
 
+def test_offsets_of_many_matches_in_one_text(spark):
+    """The ends of matches are summed by doubling: any number of them, also about powers of two."""
+    rules = RuleSet((Rule("A", "a", patterns=(r"c\d+\b",)),))
+    values = ["".join(f"é{'x' * (i % 3)} C{i} " for i in range(n)) for n in (1, 2, 3, 4, 5, 7, 8, 9, 1023, 1024, 1025, 50_000)]
+    rows = signature_hits(texts(spark, values), "text", rules).collect()
+    got = sorted((r.i, r.start, r.end, r.matched_text) for r in rows)
+    assert got == [(i, m.start(), m.end(), m[0]) for i, v in enumerate(values) for m in re.finditer(r"C\d+\b", v)]
+
+
 def test_patterns_of_either_dialect(spark):
     rules = RuleSet((Rule("A", "a", patterns=(r"(?P<w>se)cret(?P=w)", r"end\Z", r"(?P<bad", r"possessive++", r"[[:alpha")),))
     with pytest.warns(UserWarning):

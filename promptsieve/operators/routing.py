@@ -97,11 +97,13 @@ def plan_routes(
         "_prompt": prompt_text(F.col("body_json")),
     })
     aliased = select_route(staged, tasks)
-    scored = complexity(aliased, "_prompt")
     is_alias = F.col("task").isNotNull()
     considered = F.col("model").isNotNull() & ~is_alias
-    eligible = considered & F.col("capable") & (F.trim("_prompt") != "") & downgrade_eligible()
-    paired = select_downgrade(scored.withColumn("eligible", F.coalesce(eligible, F.lit(False))), downgrades)
+    asked = considered & F.col("capable") & (F.trim("_prompt") != "")
+    paired = select_downgrade(aliased.withColumn("eligible", F.coalesce(asked, F.lit(False))), downgrades)
+    # Only a prompt that a cheaper model is named for is scored: nothing else is read off its score.
+    in_question = paired.withColumn("_prompt", F.when(F.col("target").isNotNull(), F.col("_prompt")))
+    scored = complexity(in_question, "_prompt").withColumn("target", F.when(downgrade_eligible(), F.col("target")))
     target = F.col("target")
     note = sanitize_label(F.format_string(
         "would-route %s->%s tier=%s score=%s", "model", target, "complexity.tier",
@@ -114,7 +116,7 @@ def plan_routes(
         .when(target.isNull(), "skipped").otherwise("dry_run" if dry_run else "routed")
     )
     routed = F.coalesce("chosen", target)
-    return paired.select(
+    return scored.select(
         *requests.columns,
         F.when(routed.isNotNull(), F.left("model", F.lit(K.MODEL_LIMIT))).alias("requested_model"),
         routed.alias("routed_model"),

@@ -3,6 +3,7 @@
 import json
 import random
 from datetime import datetime, timedelta
+from fractions import Fraction
 
 import pandas as pd
 import pytest
@@ -316,6 +317,62 @@ def test_rate_limit_splits_a_client_that_never_idles(spark):
     assert full.select("run").distinct().count() == 1
 
 
+@pytest.mark.parametrize("rate, burst, block_ticks", [(100, 20, 30), (3, 2, 7), (1.5, 3, 1), (0.7, 5, 300)])
+def test_overloaded_clients_are_judged_in_blocks(spark, rate, burst, block_ticks):
+    """Floods, pauses in which the bucket fills half or whole, and quiet times, in blocks of any length."""
+    rng = random.Random(burst)
+    rows, at = [], {"hot": 0, "b": 40, "quiet": 7}
+    for i in range(3000):
+        client = rng.choice(["hot", "hot", "b", "quiet"])
+        at[client] += rng.choice([0, 1, 3, 9, 40, 200 if rng.random() < 0.1 else 1, int(burst * 1000 / rate) if rng.random() < 0.02 else 2])
+        rows.append((i, client, datetime(1969, 12, 31, 23, 59, 58) + timedelta(milliseconds=at[client])))
+    df = spark.createDataFrame(rows, "event_id int, client string, ts timestamp")
+    got = {r.event_id: r.decision for r in L.rate_limit(df, rate=rate, burst=burst, block_ticks=block_ticks).collect()}
+    state, want = {}, {}
+    for i, client, ts in sorted(rows, key=lambda r: (r[2], r[0])):
+        tokens, last = state.get(client, (Fraction(burst), ts))
+        tokens = min(Fraction(burst), tokens + Fraction(str(rate)) * ((ts - last) // timedelta(milliseconds=1)) / 1000)
+        want[i] = "allowed" if tokens >= 1 else "limited"
+        state[client] = (tokens - (tokens >= 1), ts)
+    assert got == want and set(want.values()) == {"allowed", "limited"}
+
+
+@pytest.mark.parametrize("rate, burst", [(100, 7), (3, 2), (1.5, 40), (0.31, 12), (2000, 3)])
+def test_a_level_map_is_what_a_bucket_does_to_every_level(rate, burst):
+    rng = random.Random(burst)
+    unit, step, full = L._units(rate, burst)
+    for _ in range(30):
+        levels = L._LevelMap(50, rate, burst)
+        ticks, at = [], 50
+        for _ in range(rng.randint(1, 60)):
+            ticks.append((at, rng.choice([1, 1, 2, burst - 1, burst, 5 * burst])))
+            at += rng.choice([1, 2, 7, unit // step + 1, full // step // 3 + 1])
+        for t, asked in ticks:
+            levels.add(t, asked)
+            assert len(levels.pieces) <= 8 * burst + 16
+        first, last, *chain = levels.row()
+        assert (first, last) == (50, ticks[-1][0])
+        for start in {0, full, *(rng.randint(0, full) for _ in range(40)), *chain[0][0], *(max(0, x - 1) for x in chain[0][0])}:
+            level, before = start, 50
+            for t, asked in ticks:
+                level, before = min(full, level + (t - before) * step), t
+                level -= min(asked, level // unit) * unit
+            assert level == L._level_after(*chain, start)
+
+
+def test_one_overloaded_client_is_spread_over_tasks(spark):
+    """Ten minutes of two events a millisecond at 100 a second: one run, ten blocks."""
+    ticks = spark.range(600_000).selectExpr("'hot' as client", "0L as run", "id div 60000 as block", "id as at", "2L as n")
+    spread = ticks.repartition(8, "client", "run", "block")
+    assert spread.select(F.spark_partition_id().alias("p")).distinct().count() > 2
+    got = L._judged(ticks, 100, 200).agg(F.sum("allowed"), F.count("*")).first()
+    assert tuple(got) == (200 + 599_999 // 10, 600_000)
+    at = ticks.select("client", "at", "n", F.floor(F.col("at") / 2000).alias("slot"))
+    runs = L._runs(at, 2000, 100, 200, 20_000).where("slot > 0")
+    assert runs.agg(F.countDistinct("run"), F.countDistinct("block"), F.max("parts")).first()[:] == (1, 30, 1)
+    assert L._runs(at, 2000, 100, 200, 500).where("slot > 0").agg(F.min("parts"), F.max("block")).first()[:] == (4, 299 * 4)
+
+
 @pytest.mark.parametrize("size", [1, 3, 1000])
 def test_bucket_does_not_depend_on_batches(size):
     rng = random.Random(size)

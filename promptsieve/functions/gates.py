@@ -8,7 +8,10 @@ than its pattern: where no word is certain there is no gate.
 
 from __future__ import annotations
 
-from re import _parser as sre
+try:
+    from re import _parser as sre  # private to Python: without it there are no gates, only slower scans
+except ImportError:
+    sre = None
 
 MIN_WORD = 3
 # The four non-ASCII letters that Unicode case folding equates with ASCII i, k and s.
@@ -25,6 +28,8 @@ def required_words(pattern: str, spell=str):
     words, or ``None``. Assumes ASCII case folding, as in ``(?i)`` without Unicode case.
     ``spell`` rewrites the words, for texts in which they appear encoded.
     """
+    if sre is None:
+        return None
     try:
         return _conjunction(sre.parse(pattern), spell)
     except sre.error:  # Java-only syntax
@@ -85,6 +90,8 @@ def gate_sql(tree, lowered: str) -> str:
 def needs_non_ascii(pattern: str) -> bool:
     """Whether every match of ``pattern`` begins with a character of a set outside ASCII, the
     letters that fold to ASCII ones excluded: a text of as many bytes as characters has none."""
+    if sre is None:
+        return False
     try:
         op, arg = sre.parse(pattern)[0]
     except (sre.error, IndexError):

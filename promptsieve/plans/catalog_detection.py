@@ -89,16 +89,17 @@ def _votes(rules: RuleSet, regex: bool = True, heuristics: bool = True, extra: s
     return ", ".join(ctes) + ", votes AS (" + " UNION ALL ".join(parts) + f"""),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id
   ORDER BY {RANK.format('action')} DESC, confidence DESC, pos) AS rn FROM votes) WHERE rn = 1),
-details AS (SELECT request_id, sum(times) AS n_matches FROM votes GROUP BY request_id),
+details AS (SELECT request_id, sum(times) AS n_matches, string_agg(repeat(detail || chr(10), times::BIGINT), '' ORDER BY pos) AS matches
+  FROM votes GROUP BY request_id),
 verdicts AS (SELECT p.request_id, p.client_id, p.label, p.text, coalesce(b.action, 'allow') AS action, b.category,
   b.signature_id, coalesce(b.confidence, 0.0)::DOUBLE AS confidence, b.detail AS details,
-  coalesce(d.n_matches, 0)::BIGINT AS n_matches
+  coalesce(d.n_matches, 0)::BIGINT AS n_matches, coalesce(d.matches, '') AS matches
   FROM prompts p LEFT JOIN best b USING (request_id) LEFT JOIN details d USING (request_id))"""
 
 
 RULES = default_rules()
 VERDICTS = "WITH " + _votes(RULES)
-_VERDICT_COLUMNS = "request_id, action, category, signature_id, confidence, details, n_matches"
+_VERDICT_COLUMNS = "request_id, action, category, signature_id, confidence, details, n_matches, matches"
 
 
 def verdicts(spark, sf, config: ScanConfig = ScanConfig()) -> DataFrame:
@@ -109,7 +110,9 @@ def _verdict_rows(config: ScanConfig):
     def build(spark, sf):
         return verdicts(spark, sf, config).select(
             "request_id", "action", "category", "signature_id", "confidence", "details",
-            F.coalesce(F.size("matches"), F.lit(0)).cast("bigint").alias("n_matches"))
+            F.coalesce(F.size("matches"), F.lit(0)).cast("bigint").alias("n_matches"),
+            # Every vote on a line of its own, in order.
+            F.coalesce(F.array_join(F.transform("matches", lambda m: F.concat(m, F.lit("\n"))), ""), F.lit("")).alias("matches"))
 
     return build
 
@@ -135,6 +138,25 @@ def _hit_offsets(spark, sf):
     return hits.selectExpr("request_id", "signature_id", "cast(start as bigint) as start_at", "cast(`end` as bigint) as end_at", "matched_text")
 
 
+def _leak_offsets(spark, sf):
+    """Offsets of rules that look at word bounds, over the documents."""
+    hits = signature_hits(_outputs(spark, sf), "text", LEAK_RULES)
+    return hits.selectExpr("request_id", "signature_id", "cast(start as bigint) as start_at", "cast(`end` as bigint) as end_at", "matched_text")
+
+
+def _leak_offsets_sql() -> str:
+    """Each match between two marks, set in one pass over the whole text, so that bounds are seen as they are."""
+    marked = " UNION ALL ".join(
+        f"SELECT request_id, {i} AS ord, string_split(regexp_replace(text, {quoted(p)}, chr(1) || '\\0' || chr(2), 'gi'), chr(1)) AS parts FROM outputs"
+        for i, (p, _) in enumerate(LEAK_RULES.patterns))
+    return f"""WITH {_OUTPUTS}, {rules_cte(LEAK_RULES)}, marked AS ({marked}),
+pieces AS (SELECT request_id, ord, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM marked WHERE len(parts) > 1),
+placed AS (SELECT *, sum(length(replace(part, chr(2), ''))) OVER (PARTITION BY request_id, ord ORDER BY k
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT AS start_at FROM pieces)
+SELECT request_id, id AS signature_id, start_at, start_at + strpos(part, chr(2)) - 1 AS end_at, split_part(part, chr(2), 1) AS matched_text
+FROM placed JOIN rules USING (ord) WHERE k > 1"""
+
+
 def _best(spark, sf):
     return best_signature(prompts(spark, sf).select("request_id", "text"), "text", RULES).select(
         "request_id", "action", "category", "signature_id", "confidence")
@@ -370,6 +392,7 @@ ENTRIES = {
         "UNION ALL SELECT request_id, ord, i + 1, start_at + length(found[i]) + strpos(substr(text, start_at + length(found[i]) + 1), found[i + 1]) - 1, found, text "
         "FROM walk WHERE i < len(found)) "
         "SELECT request_id, id AS signature_id, start_at, start_at + length(found[i]) AS end_at, found[i] AS matched_text FROM walk JOIN rules USING (ord)"),
+    "det_leak_offsets": (_leak_offsets, _leak_offsets_sql()),
     "det_best_signature": (
         _best,
         "WITH " + _votes(RULES, heuristics=False)
@@ -388,7 +411,7 @@ ENTRIES = {
     "det_fuse_disabled": (
         _verdict_rows(ScanConfig(enabled=False)),
         f"WITH {PROMPTS} SELECT request_id, 'allow' AS action, NULL::VARCHAR AS category, NULL::VARCHAR AS signature_id, "
-        "0.0::DOUBLE AS confidence, NULL::VARCHAR AS details, 0::BIGINT AS n_matches FROM prompts"),
+        "0.0::DOUBLE AS confidence, NULL::VARCHAR AS details, 0::BIGINT AS n_matches, '' AS matches FROM prompts"),
     "det_fuse_extra_detector": (
         _verdict_rows(ScanConfig(extra={"extra": _secret_detector})),
         "WITH " + _votes(RULES, extra=(

@@ -183,9 +183,12 @@ def _public(spark, sf):
 
 
 def _json_log(spark, sf):
-    judged = verdicts(spark, sf).where("action <> 'allow'").select("request_id", "client_id", "action", "category")
+    """Every line carries keys, in a text, a message and a header, which must not be seen."""
+    judged = verdicts(spark, sf).where("action <> 'allow'").selectExpr(
+        "request_id", "client_id", "action", "category", "concat('Bearer a.b-', request_id, ' and sk-ant-x', request_id, ' of ', client_id) as note",
+        "map('Authorization', concat('Basic ', request_id), 'Accept', 'text', 'X-Note', concat('sk-', request_id)) as headers")
     return to_json_log(
-        judged, F.lit("WARNING"), F.lit("scanner"), F.concat(F.lit("Detection "), F.col("action")),
+        judged, F.lit("WARNING"), F.lit("scanner"), F.concat(F.lit("Detection "), F.col("action"), F.lit(" by sk-"), F.col("request_id")),
         F.timestamp_seconds(F.col("request_id") + 1704067200))
 
 
@@ -439,8 +442,9 @@ ENTRIES = {
     "snk_json_log": (
         _json_log,
         f"{VERDICTS} SELECT '{{\"timestamp\":\"' || strftime(TIMESTAMP '2024-01-01' + to_seconds(request_id), '%Y-%m-%dT%H:%M:%S.%f') "
-        "|| '+00:00\",\"level\":\"warning\",\"logger\":\"scanner\",\"message\":\"Detection ' || action || '\",\"request_id\":' || request_id "
-        "|| ',\"client_id\":\"' || client_id || '\",\"action\":\"' || action || '\",\"category\":\"' || category || '\"}' AS value "
+        f"|| '+00:00\",\"level\":\"warning\",\"logger\":\"scanner\",\"message\":\"Detection ' || action || ' by {K.REDACTED}\",\"request_id\":' || request_id "
+        "|| ',\"client_id\":\"' || client_id || '\",\"action\":\"' || action || '\",\"category\":\"' || category "
+        f"|| '\",\"note\":\"{K.REDACTED} and {K.REDACTED} of ' || client_id || '\",\"headers\":{{\"Authorization\":\"{K.REDACTED}\",\"Accept\":\"text\",\"X-Note\":\"{K.REDACTED}\"}}}}' AS value "
         "FROM verdicts WHERE action <> 'allow'"),
     "rsp_response_rules": (
         _response_rules,

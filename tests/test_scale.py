@@ -3,7 +3,9 @@
 import subprocess
 import sys
 import zipfile
+from pathlib import Path
 
+from promptsieve.plans import catalog_streaming
 from promptsieve.plans import catalog_detection
 
 
@@ -35,3 +37,16 @@ def test_batch_model_takes_null_vectors(spark, tmp_path):
     ).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     ids = {r.request_id for r in catalog_detection._batch_model(spark, str(tmp_path)).collect()}
     assert 0 not in ids and ids <= {1, 2}
+
+
+def test_streams_read_tables_of_one_file_and_of_parts(spark, tmp_path):
+    docs = spark.range(26).selectExpr("id as doc_id", "'plain words' as text", "'src1' as source")
+    docs.repartition(3).write.parquet(f"{tmp_path}/parts/documents.parquet")
+    docs.where("doc_id < 2").write.parquet(f"{tmp_path}/parts/documents.parquet2")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/made")
+    Path(f"{tmp_path}/one").mkdir()
+    next(Path(f"{tmp_path}/made").glob("part-*.parquet")).rename(f"{tmp_path}/one/documents.parquet")
+    for folder in ("parts", "one"):
+        assert catalog_streaming._scan(spark, f"{tmp_path}/{folder}").count() == 26
+        found = {r.request_id for r in catalog_streaming._called_back(spark, f"{tmp_path}/{folder}").collect()}
+        assert {0, 1, 13, 14} <= found and not {2, 11, 15, 24} & found

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptsieve import constants as K
+from promptsieve.session import saved
 
 
 def train_classifier(
@@ -88,7 +89,8 @@ def naive_bayes_fit(df: DataFrame, text: str = "text", label: str = "label") ->
     Rows without a label take no part; a NULL text has no tokens.
     """
     labelled = df.where(F.col(label).isNotNull())
-    tokens = _token_counts(labelled, text, [label]).withColumnRenamed(label, "label")
+    # Written once: the vocabulary, the sizes and the scores all read it.
+    tokens = saved(_token_counts(labelled, text, [label]).withColumnRenamed(label, "label"), "bayes")
     vocabulary = tokens.select("token").distinct().count()
     sizes = tokens.groupBy("label").agg(F.sum("n").alias("tokens"))
     classes = (
@@ -108,7 +110,7 @@ def naive_bayes_classify(
     classes are literals. Of equal scores the first label is best. Without classes no rows.
     """
     counts = _token_counts(df, text, [key])
-    totals = df.select(key).join(counts.groupBy(key).agg(F.sum("n").alias("total")), key, "left")
+    totals = df.select(key, F.regexp_count(text, F.lit("[A-Za-z]+")).alias("total"))
     known = counts.join(tokens.withColumnRenamed("n", "count"), "token").groupBy(key, "label").agg(
         F.sum(F.col("n") * F.log(F.col("count") + F.lit(1.0))).alias("known"))
     literal = F.array(*(F.struct(

@@ -110,7 +110,9 @@ def naive_bayes_classify(
     classes are literals. Of equal scores the first label is best. Without classes no rows.
     """
     counts = _token_counts(df, text, [key])
-    totals = df.select(key, F.regexp_count(text, F.lit("[A-Za-z]+")).alias("total"))
+    # Of repeated keys each row has the total of all; only numbers are shuffled for it.
+    sizes = df.groupBy(key).agg(F.sum(F.regexp_count(text, F.lit("[A-Za-z]+"))).alias("total"))
+    totals = df.select(key).join(sizes, key, "left")
     known = counts.join(tokens.withColumnRenamed("n", "count"), "token").groupBy(key, "label").agg(
         F.sum(F.col("n") * F.log(F.col("count") + F.lit(1.0))).alias("known"))
     literal = F.array(*(F.struct(

@@ -94,3 +94,6 @@ def test_naive_bayes_counts_its_model_once(spark):
     assert tokens.inputFiles() and [c.tokens for c in classes] == [3, 2]
     scored = naive_bayes_classify(rows, "doc_id", tokens, classes)
     assert scored.count() == 6 and scored.where("doc_id = 0 and best").first().label == "x"
+    twice = naive_bayes_classify(rows.union(rows.where("doc_id = 0")), "doc_id", tokens, classes)
+    once, both = (sorted(r.log_score for r in s.where("doc_id = 0 and label = 'x'").collect()) for s in (scored, twice))
+    assert len(both) == 2 and both[0] == both[1] and abs(both[0] - np.log(2) - 2 * (once[0] - np.log(2))) < 1e-9

@@ -15,6 +15,7 @@ from promptsieve.functions.text import (
 from promptsieve.operators.classifier import naive_bayes_classify, naive_bayes_fit
 from promptsieve.operators.evasion import append_signals
 from promptsieve.operators.fusion import ScanConfig, fuse
+from promptsieve.operators.usage import usage_events
 from promptsieve.plans import catalog_detection, catalog_streaming
 
 
@@ -137,3 +138,15 @@ def test_base64_runs_open_their_gate(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("_gates", phrase_gates("text"))
     rows = df.select("id", gated_base64("text", "_gates", 0).alias("n"), count_base64("text").alias("exact")).collect()
     assert all(r.n == r.exact for r in rows) and {r.id: r.n for r in rows}[1] == 2
+
+
+def test_a_billed_body_is_parsed_once(spark):
+    """The filter on the counts was taken below them, with the body's parse inlined for each."""
+    requests = spark.range(6).selectExpr("id as request_id")
+    usage = '{"usage":{"prompt_tokens":3,"completion_tokens":1}}'
+    responses = spark.range(6).selectExpr(
+        "id as request_id", "200 as status", "1L as latency_ms", f"if(id < 4, '{usage}', concat('none ', id)) as body")
+    events = usage_events(requests, responses.union(responses.where("request_id = 0")))
+    plan = events._jdf.queryExecution().optimizedPlan()
+    assert not [line for line in plan.toString().splitlines() if "Filter" in line and "variant_get" in line]
+    assert sorted(r.event_id for r in events.collect()) == ["usage-0", "usage-0", "usage-1", "usage-2", "usage-3"]

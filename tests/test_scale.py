@@ -150,3 +150,12 @@ def test_a_billed_body_is_parsed_once(spark):
     plan = events._jdf.queryExecution().optimizedPlan()
     assert not [line for line in plan.toString().splitlines() if "Filter" in line and "variant_get" in line]
     assert sorted(r.event_id for r in events.collect()) == ["usage-0", "usage-0", "usage-1", "usage-2", "usage-3"]
+
+
+def test_gates_of_a_large_rule_set(spark):
+    """More triples than a short number counts."""
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    words = [a + b + c for a in letters for b in letters for c in letters]
+    df = spark.createDataFrame([(0, "998"), (1, "ABC 999"), (2, "--")], "id int, text string")
+    got = {r.id: [words[g] for g in r.g] for r in df.select("id", gates.open_gates(F.col("text"), words).alias("g")).collect()}
+    assert len(words) > 1 << 15 and got == {0: ["998"], 1: ["abc", "999"], 2: []}

@@ -149,11 +149,16 @@ def _key_rows(near_side: bool):
 
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different fingerprints, column ``fp``, at most DISTANCE bits apart."""
+    """Pairs (a, b) of different fingerprints, column ``fp``, at most DISTANCE bits apart.
+
+    Spark takes the key rows (up to 150 a fingerprint) for as many as the fingerprints, so it would
+    send those of some hundred MB of texts through the driver: the join is always a sort merge join.
+    """
     left = fps.select("fp").mapInArrow(_key_rows(True), "key long, fp long").toDF("key", "a")
     right = fps.select("fp").mapInArrow(_key_rows(False), "key long, fp long").toDF("key", "b")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
-    return left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    met = left.hint("merge").join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & close)
+    return met.select("a", "b").distinct()
 
 
 def _classes(prints: DataFrame) -> DataFrame:

@@ -127,6 +127,14 @@ def test_simhash_links_lose_no_pair(spark):
     assert got == want and len(want) > 100
 
 
+def test_simhash_key_rows_are_not_broadcast(spark):
+    fps = spark.range(2000).select(F.xxhash64("id").alias("fp"))
+    links = simhash.fingerprint_links(fps)
+    links.collect()
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_near_duplicates(docs, empty):
     rows = corpus()
     fps = [simhash.fingerprint((t or "").encode(), 4) for _, t in rows]

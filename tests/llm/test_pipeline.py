@@ -54,6 +54,14 @@ def test_stages(stages):
     assert {i for i, _ in tokens} == {r.doc_id for r in clean} and all(n == t for (_, t), n in tokens.items())
 
 
+def test_near_stage_sends_no_key_rows_through_the_driver(spark, stages, monkeypatch):
+    folder, _, _, _ = stages
+    linked, components = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda links: linked.append(links) or components(links))
+    corpus_pipeline.near_stage(spark, spark.read.parquet(f"{folder}/exact-dedup"), folder).count()
+    assert len(linked) == 1 and "BroadcastHashJoin" not in linked[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_run(spark, stages):
     folder, _, out, _ = stages
     assert corpus_pipeline.run(spark, folder).count() == len(out[-1])
